@@ -32,7 +32,7 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MIN_GROUP, KEEP, STEPS, REWEIGHT, REJECT = 100, 0.75, 3, 0.975, 1 - 1e-7
 #: Smallest standard deviations of the transformed numbers.
-FLOORS = (0.5, 0.1, 0.03, 0.05, 0.05)
+FLOORS = (0.5, 0.1, 0.05, 0.15, 0.1)
 D = len(FLOORS)
 #: Up to so many groups go to every task; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
