@@ -37,7 +37,7 @@ def with_attachments(sources: DataFrame) -> DataFrame:
     """Sources and the files attached to their e-mails, each mail before its own: hashed, with parent and sub_ord."""
     own = hashed(sources).withColumns({"sub_ord": F.lit(0), "parent": F.lit(None).cast("string")})
     inner = hashed(attachments(own.where("suffix = '.eml'")))
-    return own.unionByName(inner.select(*own.columns))
+    return own.unionByName(inner, allowMissingColumns=True)
 
 
 def first_of_each(hashed_sources: DataFrame) -> DataFrame:

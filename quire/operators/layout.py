@@ -30,7 +30,7 @@ def row_numbers(boxes: DataFrame, key: str = "page_key") -> DataFrame:
     before = lambda c: F.lag(c).over(order)
     overlap = F.least(before("bottom"), F.col("bottom")) - F.greatest(before("top"), F.col("top"))
     lower = F.least(before("bottom") - before("top"), F.col("bottom") - F.col("top"))
-    starts = boxes.withColumn("starts", F.when(overlap >= ROW_OVERLAP * lower, 0).otherwise(1))
+    starts = boxes.withColumn("starts", F.when(before("top").isNotNull() & (overlap >= ROW_OVERLAP * lower), 0).otherwise(1))
     return starts.withColumn("row_id", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("starts")
 
 

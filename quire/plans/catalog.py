@@ -156,7 +156,7 @@ _PIECES = """named as (select l_orderkey, l_quantity::bigint as q, p_name, ord f
 worded as (select *, substring(p_name, 1, 24) || case q % 7 when 0 then '.' when 1 then ':' when 2 then '-' else '' end as text from named),
 pieces as (select l_orderkey as page_key, ord, text, ((q % 3) * 40 + 10)::double as "left", ((ord - 1) * 18 - (q % 2) * 12)::double as top, ((q % 3) * 40 + 10 + length(text) * 10)::double as "right", ((ord - 1) * 18 - (q % 2) * 12 + 20)::double as bottom from worded),
 r1 as (select *, lag(top) over w as ptop, lag(bottom) over w as pbottom from pieces window w as (partition by page_key order by (top + bottom) / 2, ord)),
-r2 as (select *, case when least(pbottom, bottom) - greatest(ptop, top) >= 0.5 * least(pbottom - ptop, bottom - top) then 0 else 1 end as starts from r1),
+r2 as (select *, case when ptop is not null and least(pbottom, bottom) - greatest(ptop, top) >= 0.5 * least(pbottom - ptop, bottom - top) then 0 else 1 end as starts from r1),
 r3 as (select *, (sum(starts) over (partition by page_key order by (top + bottom) / 2, ord rows unbounded preceding))::bigint as row_id from r2),
 ordered as (select *, row_number() over (partition by page_key order by row_id, "left", (top + bottom) / 2, ord) as number, lead("left") over (partition by page_key, row_id order by "left", (top + bottom) / 2, ord) - "right" as gap from r3),
 text_rows as (select page_key, row_id, string_agg(text, ' ' order by number) as text, min("left") as "left", min(top) as top, max("right") as "right", max(bottom) as bottom, median(bottom - top) as height,

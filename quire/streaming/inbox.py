@@ -17,7 +17,7 @@ from ..operators import ingest, manifest
 def events(batch: DataFrame, known: DataFrame, seq: int, now: str) -> DataFrame:
     """Manifest events for the new documents of a batch of files (path, content)."""
     name = F.element_at(F.split("path", "/"), -1)
-    sources = batch.select(F.xxhash64("path").alias("ord"), "path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"), "content")
+    sources = batch.select(F.split("path", "/").alias("ord"), "path", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"), "content")
     told = ingest.first_of_each(ingest.hashed(sources).where("supported").withColumn("sub_ord", F.lit(0))).where("nth = 1")
     new = told.join(known.select("sha256"), "sha256", "left_anti")
     none = F.lit(None).cast("string")
