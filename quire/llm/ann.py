@@ -2,10 +2,15 @@
 
 Centroids come from balanced k-means on a bounded sample. They form a graph (each with its
 nearest centroids) that is searched in memory, best first, both for indexing and for
-queries. A vector goes to its nearest list and, near a boundary, to further lists: those
-within BOUNDARY of the nearest distance unless a list already chosen is nearer to the new
-list's centroid than the vector is. Oversized lists are split into parts by hash. A query
-probes every list whose centroid is within PRUNE of its nearest centroid's distance.
+queries. A vector goes to its nearest list and, near a boundary, to further lists, those
+whose centroids are within BOUNDARY of the nearest one's distance, REPLICAS in all. (A rule
+that skips lists whose centroids are near each other would leave nothing replicated: in many
+dimensions centroids are nearer to each other than to any vector.) Oversized lists are split
+into parts by hash. A query probes the lists whose centroids are within PRUNE of its nearest
+centroid's distance, among the BEAM nearest that the graph search finds.
+
+Recall depends on how the vectors cluster. Vectors without any clusters (independent and
+normal, 64 numbers) are the hard case that the parameters are set for.
 
 Equal vectors are one entry with its smallest identifiers (one more than asked for, which is
 all that can be among the nearest), so a vector that a third of the rows share is no hot
@@ -31,15 +36,16 @@ from .common import written
 #: The sample for the centroids: at most so many vectors, and so many numbers.
 FIT_VECTORS, FIT_NUMBERS = 50_000, 8_000_000
 LIST_VECTORS, MAX_LISTS, FIT_PER_LIST = 200, 4096, 12
-DEGREE, ENTRIES, BEAM = 16, 32, 64
-BOUNDARY, REPLICAS, PRUNE = 1.15, 4, 1.3
+DEGREE, ENTRIES, BEAM, STORE_BEAM = 16, 32, 128, 32
+BOUNDARY, REPLICAS, PRUNE = 1.2, 6, 1.25
 PART_VECTORS = 4000
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double> as stored, widened) of the rows that take part."""
+    """vec_id and embedding (array<float> if stored so, else array<double>) of the rows that take part."""
     v = F.col("embedding")
-    wide = rows.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("embedding"))
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    wide = rows.select(F.col("vec_id").cast("long"), v.cast(kind).alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = wide.where(F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0))
     length = good.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -139,25 +145,17 @@ def _assign(vectors: DataFrame, centroids: Centroids, querying: bool) -> DataFra
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 x = _vectors(batch.column(1))
-                lists, d = centroids.search(x)
+                lists, d = centroids.search(x, BEAM if querying else STORE_BEAM)
                 d = np.sqrt(d)
                 if querying:
                     take = d <= np.maximum(d[:, :1] * PRUNE, 1e-12)
                 else:
-                    take = np.zeros(d.shape, bool)
-                    take[:, 0] = True
-                    for i in range(len(x)):
-                        chosen = [lists[i, 0]]
-                        for j in range(1, d.shape[1]):
-                            if len(chosen) == REPLICAS or d[i, j] > BOUNDARY * d[i, 0] or lists[i, j] < 0:
-                                break
-                            if all(np.linalg.norm(centroids.points[c] - centroids.points[lists[i, j]]) >= d[i, j] for c in chosen):
-                                chosen.append(lists[i, j])
-                                take[i, j] = True
+                    take = d <= d[:, :1] * BOUNDARY
+                    take[:, 0], take[:, REPLICAS:] = True, False
                 row, col = np.nonzero(take & (lists >= 0))
                 yield pa.RecordBatch.from_arrays([pa.array(lists[row, col], pa.int64()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "vid", "embedding"])
 
-    return vectors.select("vid", "embedding").mapInArrow(assign, "list long, vid long, embedding array<double>")
+    return vectors.select("vid", "embedding").mapInArrow(assign, f"list long, vid long, embedding {dict(vectors.dtypes)['embedding']}")
 
 
 def _search_lists(postings: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
