@@ -17,6 +17,8 @@ handled like any other. Spans of several kinds may overlap.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,40 +31,49 @@ HEX = r"([0-9a-f]{32,})"
 BASE = [("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32)]
 
 SCOPE = 200
-#: Weak parts: (kind, pattern with the part as group 1, role).
+#: Weak parts: (kind, pattern that ends with the part as group 1, role).
 WEAK = [
-    ("weak_id", r"(?<![A-Za-z0-9_])(?i:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", "id"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])[A-Za-z0-9+/_-]{24,200}={0,2})(?![A-Za-z0-9+/_=-])", "secret"),
-    ("weak_endpoint", r"((?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+)", "endpoint"),
+    ("weak_id", r"""(?:^|[^A-Za-z0-9_])(?i:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", "id"),
+    ("weak_secret", r"([A-Za-z0-9+/_-]{24,}={0,2})", "secret"),
+    ("weak_endpoint", r"""((?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+)""", "endpoint"),
 ]
+#: A weak secret mixes these and is no longer than that.
+MIXED, LONGEST_SECRET = ["[0-9]", "[a-z]", "[A-Z]"], 202
 KINDS = [k for k, _, _ in BASE] + [k for k, _, _ in WEAK]
 #: Roles of the base kinds in linking.
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {k: r for k, _, r in WEAK}
 
 
-def _matches(text: Column, pattern: str, least: int, part_only: bool) -> Column:
-    """(start, end) of each leftmost non-overlapping match of ``pattern`` whose group 1 has ``least`` characters or more; of the group itself with ``part_only``."""
+def _is_mixed(part: Column) -> Column:
+    good = F.length(part) <= LONGEST_SECRET
+    for p in MIXED:
+        good = good & part.rlike(p)
+    return good
+
+
+def _matches(text: Column, pattern: str, good: Callable[[Column], Column], part_only: bool) -> Column:
+    """(start, end) of each leftmost non-overlapping match of ``pattern`` whose group 1 is ``good``; of the group itself with ``part_only``."""
     marked = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002$1\u0003"), "\u0001")
     # Each piece after the first: match \2 group \3 rest; the running length of match and rest is the position.
     pieces = F.transform(
         F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(1))),
-        lambda p: F.struct(F.length(F.substring_index(p, "\u0002", 1)).alias("m"), F.length(F.substring_index(F.substring_index(p, "\u0003", 1), "\u0002", -1)).alias("g"), F.length(F.substring_index(p, "\u0003", -1)).alias("r")),
+        lambda p: F.struct(F.length(F.substring_index(p, "\u0002", 1)).alias("m"), F.substring_index(F.substring_index(p, "\u0003", 1), "\u0002", -1).alias("g"), F.length(F.substring_index(p, "\u0003", -1)).alias("r")),
     )
-    empty = F.expr("array()").cast("array<struct<start:int,end:int,g:int>>")
+    empty = F.expr("array()").cast("array<struct<start:int,end:int,good:boolean>>")
 
     def walk(state: Column, p: Column) -> Column:
-        begin = state["at"] + p["m"] - p["g"] if part_only else state["at"]
-        span = F.struct(begin.alias("start"), (state["at"] + p["m"]).alias("end"), p["g"].alias("g"))
+        begin = state["at"] + p["m"] - F.length(p["g"]) if part_only else state["at"]
+        span = F.struct(begin.alias("start"), (state["at"] + p["m"]).alias("end"), F.coalesce(good(p["g"]), F.lit(False)).alias("good"))
         return F.struct((state["at"] + p["m"] + p["r"]).alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
     start = F.struct(F.length(F.get(marked, F.lit(0))).alias("at"), empty.alias("found"))
     found = F.aggregate(pieces, start, walk, lambda s: s["found"])
-    good = F.filter(found, lambda s: s["g"] >= least)
-    return F.when(text.rlike(pattern), F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.expr("array()").cast("array<struct<start:int,end:int>>"))
+    return F.when(text.rlike(pattern), F.transform(F.filter(found, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.expr("array()").cast("array<struct<start:int,end:int>>"))
 
 
 def _part_spans(text: Column) -> list[Column]:
-    return [_matches(text, p, n, False).alias(k) for k, p, n in BASE] + [_matches(text, p, 1, True).alias(k) for k, p, _ in WEAK]
+    base = [_matches(text, p, lambda g, n=n: F.length(g) >= n, False).alias(k) for k, p, n in BASE]
+    return base + [_matches(text, p, _is_mixed if k == "weak_secret" else lambda g: F.lit(True), True).alias(k) for k, p, _ in WEAK]
 
 
 def _linked(parts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, credentials, langid, linededup, outliers, packing, separators, simhash, sst
+from . import ann, bpe, credentials, langid, linededup, oracles, outliers, packing, separators, simhash, sst
 from .common import table
 from .tokens import public_path
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_outliers": oracles.outlier_sql(), "op8_secrets": oracles.secret_sql(), "op9_lines": oracles.line_sql()}
