@@ -124,3 +124,26 @@ def block_runs(items: DataFrame) -> DataFrame:
     loose = F.col("kind").isNull()
     starts = (~(loose & F.coalesce(F.lag(loose).over(order), F.lit(False)))).cast("int")
     return numbered.withColumn("starts", starts).withColumn("run_id", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("starts")
+
+
+TITLES = ["paragraph_title", "doc_title", "title"]
+
+
+def page_from_blocks(pieces: DataFrame, boxes: DataFrame) -> DataFrame:
+    """page_key, text of pages whose blocks a layout model has found: blocks and runs of loose pieces in reading order, titles marked.
+
+    Blocks come in the order of their first piece, loose pieces after them; that settles ties of the reading order.
+    """
+    item = F.when(F.col("idx").isNull(), F.concat(F.lit("p"), F.col("ord").cast("string"))).otherwise(F.concat(F.lit("b"), F.col("idx").cast("string")))
+    placed = in_blocks(pieces, boxes).withColumn("item", item)
+    first = placed.where("idx is not null").groupBy("page_key", "idx", "item").agg(F.min("ord").alias("ord"))
+    held = first.join(boxes, ["page_key", "idx"]).select("page_key", "item", "ord", F.col("x0").alias("left"), F.col("y0").alias("top"), F.col("x1").alias("right"), F.col("y1").alias("bottom"), "kind")
+    loose = placed.where("idx is null").select("page_key", "item", (F.col("ord") + (1 << 40)).alias("ord"), "left", "top", "right", "bottom", F.lit(None).cast("string").alias("kind"))
+    runs = block_runs(held.unionByName(loose)).select("page_key", "item", "run_id", "kind")
+    run_key = F.concat_ws("\u0000", F.col("page_key").cast("string"), F.col("run_id").cast("string"))
+    members = placed.drop("kind").join(runs, ["page_key", "item"]).withColumns({"page": F.col("page_key"), "page_key": run_key}).drop("item", "idx")
+    titled = F.coalesce(F.col("kind").isin(TITLES), F.lit(False))
+    titles = reading_order(members.where(titled)).groupBy("page_key").agg(F.concat(F.lit("## "), ordered_text(F.col("text"), F.col("number"), " ")).alias("text"))
+    texts = page_text(members.where(~titled).drop("kind", "run_id", "page")).unionByName(titles)
+    keys = members.select("page", "page_key", "run_id").distinct()
+    return keys.join(texts.where("text <> ''"), "page_key").groupBy(F.col("page").alias("page_key")).agg(ordered_text(F.col("text"), F.col("run_id"), "\n\n").alias("text"))

@@ -162,8 +162,9 @@ def top_offenders(documents: DataFrame, k: int = 3) -> DataFrame:
 
 def concentration(documents: DataFrame, k: int = 3) -> DataFrame:
     """Share of all flagged lines that the k worst documents hold."""
-    all_ = documents.agg(F.sum("flagged").alias("all"))
-    return top_offenders(documents, k).agg(F.sum("flagged").alias("top")).crossJoin(all_).select(F.try_divide("top", "all").alias("share"))  # one row each
+    top = top_offenders(documents, k).select(F.col("flagged").alias("top"), F.lit(0).alias("all"))
+    rows = top.unionByName(documents.select(F.lit(0).alias("top"), F.col("flagged").alias("all")))
+    return rows.agg(F.try_divide(F.sum("top"), F.sum("all")).alias("share"))
 
 
 def measure(notes: DataFrame) -> DataFrame:
