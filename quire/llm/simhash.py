@@ -89,16 +89,21 @@ def manhattan(a: Column, b: Column) -> Column:
     return sum((F.abs(_segment(a, i) - _segment(b, i)) for i in range(SEGMENTS)), F.lit(0))
 
 
+def _spread(fps: DataFrame, each: int) -> DataFrame:
+    """``fps``, a written table, dealt out so that a task gets about ``each``: fingerprints are few bytes, what they fan out to is not."""
+    return fps.repartition(max(1, -(-fps.count() // each)), "fp")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints at distance 2 or less, enough of them to connect all that any link connects."""
-    grid = cells(fps)
+    grid = cells(_spread(written(fps, "distinct"), 50_000))
     met = written(grid.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1"), "cells")
     third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
     pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
     pairs = met.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(F.col("a"), F.col("b")))).otherwise(F.array(pair(F.col("a"), F.col("b")), pair(F.col("a"), third), pair(third, F.col("b"))))).alias("p")).select("p.a", "p.b")
     near = pairs.where(manhattan(F.col("a"), F.col("b")) <= DISTANCE).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    crowded = grid.join(met.where("n > 3").select("cell"), "cell", "left_semi").select("fp").distinct()
-    around = crowded.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("point"))
+    crowded = written(grid.join(met.where("n > 3").select("cell"), "cell", "left_semi").select("fp").distinct(), "crowded")
+    around = _spread(crowded, 25_000).select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("point"))
     lowest = around.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
     stars = around.join(lowest, "point").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     return near.unionByName(stars)
