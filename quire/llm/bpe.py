@@ -60,6 +60,11 @@ def _codec(path: str):
     return _codecs[path]
 
 
+def _narrow(path: str) -> str:
+    """The integers that hold the vocabulary's ids."""
+    return "<u2" if len(_codec(path)[3]) <= 1 << 16 else "<u4"
+
+
 def gather(blob: np.ndarray, first: np.ndarray, size: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """The runs ``blob[first[p] : first[p] + size[p]]`` for each p of ``picks``, end to end."""
     n = size[picks]
@@ -138,15 +143,18 @@ def explode_words(docs: DataFrame, folder: str, chunk_chars: int = CHUNK_CHARS)
 
 
 def encode_words(chunks: DataFrame, ranks: str) -> DataFrame:
-    """Ids of the words of each chunk, in packs: chunk, places, sizes, ids (binary, little-endian unsigned 32-bit)."""
+    """Ids of the words of each chunk, in packs: chunk, places, sizes, ids (zstd-compressed little-endian integers, see _narrow)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_one, last, ids = _codec(ranks)[0].encode_ordinary, None, b""
+        import zstandard
+
+        encode_one, last, ids, narrow = _codec(ranks)[0].encode_ordinary, None, b"", _narrow(ranks)
+        pack = zstandard.ZstdCompressor(level=1).compress
         packs: dict[str, tuple[list, list, list]] = {}
         n = 0
 
         def flush() -> pa.RecordBatch:
-            binary = lambda values: pa.array(values, pa.binary())
+            binary = lambda values: pa.array(list(map(pack, values)), pa.binary())
             out = pa.RecordBatch.from_arrays(
                 [pa.array(list(packs), pa.string()), binary([np.array(p[0], "<u4").tobytes() for p in packs.values()]), binary([np.array(p[1], "<u4").tobytes() for p in packs.values()]), binary([b"".join(p[2]) for p in packs.values()])],
                 names=["chunk", "places", "sizes", "ids"],
@@ -158,7 +166,7 @@ def encode_words(chunks: DataFrame, ranks: str) -> DataFrame:
             for word, chunk, place in zip(*(c.to_pylist() for c in batch.columns)):
                 if word != last:  # rows come sorted: equal words follow each other
                     code = encode_one(word)
-                    last, ids, size = word, np.array(code, "<u4").tobytes(), len(code)
+                    last, ids, size = word, np.array(code, narrow).tobytes(), len(code)
                 p = packs.get(chunk)
                 if p is None:
                     p = packs[chunk] = ([], [], [])
@@ -180,12 +188,14 @@ def reassemble(chunks: DataFrame, packs: DataFrame, folder: str, ranks: str, kee
     """Documents of the chunk files with their ids: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep`` also ids (array) and decoded (binary)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         _, blob, first, size = _codec(ranks)
+        unpack, narrow = zstandard.ZstdDecompressor().decompress, _narrow(ranks)
 
         def emit(chunk: str, parts: list) -> Iterator[pa.RecordBatch]:
-            places = np.concatenate([np.frombuffer(p[0], "<u4") for p in parts]) if parts else np.empty(0, np.uint32)
-            n = np.concatenate([np.frombuffer(p[1], "<u4") for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
-            ids = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts]) if parts else np.empty(0, np.uint32)
+            column = lambda k, dtype: np.concatenate([np.empty(0, dtype), *[np.frombuffer(unpack(p[k]), dtype) for p in parts]])
+            places, n, ids = column(0, "<u4"), column(1, "<u4").astype(np.int64), column(2, narrow)
             begin, length = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
             begin[places], length[places] = np.cumsum(n) - n, n
             rows = []
