@@ -33,12 +33,12 @@ IDENTITY = ["missing", "id", "key"]
 
 def _lines(text: Column) -> Column:
     """The lines of a text, tokens with a digit masked."""
-    return F.split(F.regexp_replace(text, f"[^\\n{SPACE}]*[0-9][^\\n{SPACE}]*", "<*>"), "\n")
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, f"[^{SPACE}]*[0-9][^{SPACE}]*", "<*>")).otherwise(x)
+    return F.transform(F.split(text, "\n"), masked)
 
 
 def _tokens(line: Column) -> Column:
-    trimmed = F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.split(trimmed, f"[{SPACE}]+")
+    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), f"[{SPACE}]+")
 
 
 def _leaf(tokens: Column) -> Column:
