@@ -118,7 +118,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     small = F.col("count") < MIN_GROUP
     left = sizes.groupBy("kl").agg(F.coalesce(F.sum(F.when(small, F.col("count"))), F.lit(0)).alias("left"))
     names = sizes.join(left, "kl").select("kl", "ks", F.when(~small, F.concat_ws("\u0001", "kl", "ks")).when(F.col("left") >= MIN_GROUP, F.concat("kl", F.lit("\u0002"))).otherwise(F.lit("\u0003")).alias("g"))
-    return keys.join(names, ["kl", "ks"]).drop("kl", "ks")
+    names = written(names, "groups")  # read back, both sides of a large join are plain and a hot group can be split
+    return keys.join(F.broadcast(names) if names.count() <= BROADCAST_GROUPS else names, ["kl", "ks"]).drop("kl", "ks")
 
 
 def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
