@@ -74,7 +74,8 @@ def drop_recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """The documents columns of ``docs``, recurring lines dropped from the text, with n_lines and n_dropped."""
     docs = identified(docs)
     by_text = recurring_lines(docs, min_texts).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
-    joined = docs.join(by_text, "key", "left")
+    # Read back and merged, both sides of the join are plain, so a text that very many documents share can be split over tasks.
+    joined = docs.join(written(by_text, "drops").hint("merge"), "key", "left")
     lines = F.split("text", "\n")
     size = lambda x: F.size(F.filter(F.split(x, f"[{SPACE}]+"), lambda t: t != ""))
     total = lambda ls: F.aggregate(ls, F.lit(0), lambda t, x: t + size(x))
