@@ -178,7 +178,7 @@ numbered_rows as (select *, (sum(is_new) over (partition by page_key order by ro
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as references of the documents, letters and digits only."""
-    keep = lambda c: F.trim(F.regexp_replace(F.left(c, F.lit(300)), "[^A-Za-z0-9 ]+", ""))
+    keep = lambda c: F.trim(F.regexp_replace(c, "[^A-Za-z0-9 ]+", ""))
     b, docs = _table(spark, d, "benchmark"), _table(spark, d, "documents")
     return docs.where("text is not null").select("doc_id", "text").join(b.select("item_id", F.col("text").alias("item")), F.col("doc_id") % 40 == F.col("item_id")).select(F.col("doc_id").alias("pair"), keep(F.col("item")).alias("reference"), keep(F.col("text")).alias("candidate"))
 
