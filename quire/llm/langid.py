@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 DIMENSIONS, SEED = 1024, 7
 #: About so many labelled documents are learned from, chosen by a hash of doc_id.
 FIT_DOCUMENTS = 20_000
+#: Beyond that, languages that would have fewer get about so many, and all they have if it is no more.
+LEAST_DOCUMENTS = 100
 #: Prototypes go to every task; more languages than this are refused.
 MAX_LANGUAGES = 4096
 GROUP = 256
@@ -105,7 +107,12 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, dimensions: int = D
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.select("doc_id").count()
     if n > fit_documents:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_documents / n) + 1)
+        counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+        if len(counts) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        shares = [(r["lang"], int(1_000_000 * max(fit_documents / n, LEAST_DOCUMENTS / r["count"])) + 1) for r in counts]
+        shares = docs.sparkSession.createDataFrame(shares, f"lang {dict(labelled.dtypes)['lang']}, share long")
+        labelled = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
     parts = labelled.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(bundle, "lang string, v array<double>")
     rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     found = rows.limit(MAX_LANGUAGES + 1).collect()
