@@ -183,7 +183,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs.where("text is not null").select("doc_id", "text").join(b.select("item_id", F.col("text").alias("item")), F.col("doc_id") % 40 == F.col("item_id")).select(F.col("doc_id").alias("pair"), keep(F.col("item")).alias("reference"), keep(F.col("text")).alias("candidate"))
 
 
-_PAIRS = """pairs as (select d.doc_id as pair, trim(regexp_replace(b.text[1:300], '[^A-Za-z0-9 ]+', '', 'g')) as reference, trim(regexp_replace(d.text[1:300], '[^A-Za-z0-9 ]+', '', 'g')) as candidate
+_PAIRS = """pairs as (select d.doc_id as pair, trim(regexp_replace(b.text, '[^A-Za-z0-9 ]+', '', 'g')) as reference, trim(regexp_replace(d.text, '[^A-Za-z0-9 ]+', '', 'g')) as candidate
   from documents d join benchmark b on d.doc_id % 40 = b.item_id where d.text is not null),
 plain as (select pair, trim(regexp_replace(reference, ' +', ' ', 'g')) as ref, trim(regexp_replace(candidate, ' +', ' ', 'g')) as got from pairs)"""
 
@@ -337,13 +337,13 @@ def free_names(spark: SparkSession, d: str) -> DataFrame:
 # --- text --------------------------------------------------------------------------------
 
 @_query(
-    r"""with n as (select doc_id, source || '/' || coalesce(text, '')[1:95] || '?. ' as name from documents),
+    r"""with n as (select doc_id, source || '/' || coalesce(text, '') || '?. ' as name from documents),
 c as (select doc_id, trim(trim(regexp_replace(regexp_replace(name, '[<>:"/\\|?*#^\[\]\x00-\x1f]', ' ', 'g'), '[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' .')[1:80], ' .') as cut from n)
 select doc_id, case when cut = '' then 'document' else cut end as name from c"""
 )
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
-    return docs.select("doc_id", text.safe_name(F.concat("source", F.lit("/"), F.left(F.coalesce("text", F.lit("")), F.lit(95)), F.lit("?. "))).alias("name"))
+    return docs.select("doc_id", text.safe_name(F.concat("source", F.lit("/"), F.coalesce("text", F.lit("")), F.lit("?. "))).alias("name"))
 
 
 @_query(
@@ -551,13 +551,13 @@ def answers_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""with {_PAIRS}, chained as (select 'a' as chain, pair, ref, got, 1.5 as seconds from plain union all select 'b', pair, ref, ref[1:40], 0.5 from plain)
+    f"""with {_PAIRS}, chained as (select 'a' as chain, pair, ref, got, 1.5 as seconds from plain union all select 'b', pair, ref, replace(replace(ref, 'e', 'c'), 'rn', 'm'), 0.5 from plain)
 select chain, count(*) as pages, round(avg(levenshtein(ref, trim(got)) / greatest(length(ref), 1)), 9) as cer, round(avg(seconds), 9) as seconds from chained group by 1"""
 )
 def chain_comparison(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
     one = pairs.select(F.lit("a").alias("chain"), F.col("pair").alias("page_id"), F.col("candidate").alias("text"), F.lit(1.5).alias("seconds"))
-    two = pairs.select(F.lit("b").alias("chain"), F.col("pair").alias("page_id"), F.left(text.plain(F.col("reference")), F.lit(40)).alias("text"), F.lit(0.5).alias("seconds"))
+    two = pairs.select(F.lit("b").alias("chain"), F.col("pair").alias("page_id"), F.replace(F.replace(text.plain(F.col("reference")), F.lit("e"), F.lit("c")), F.lit("rn"), F.lit("m")).alias("text"), F.lit(0.5).alias("seconds"))
     told = evaluate.compare_chains(one.unionByName(two), pairs.select(F.col("pair").alias("page_id"), "reference"))
     return told.select("chain", "pages", F.round("cer", 9).alias("cer"), F.round("seconds", 9).alias("seconds"))
 
