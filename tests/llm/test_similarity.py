@@ -1,9 +1,12 @@
 """SimHash, components and nearest neighbours, against brute force."""
 
+import collections
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -144,15 +147,78 @@ def test_few_and_none(spark):
     assert ann.nearest(vectors(spark, [(0, [1.0, 0.0])]), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_graph_search_finds_the_nearest(spark):
-    r = np.random.default_rng(2)
-    c = ann.Centroids.fit(r.normal(size=(5000, 16)), 300)
-    q = r.normal(size=(100, 16))
-    ids, d = c.search(q)
-    true = np.argsort(ann.squared(q, c.points), 1)[:, :10]
-    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, true)]) > 0.9 and (np.diff(np.where(np.isfinite(d), d, 1e9), axis=1) >= 0).all()
-    size = np.bincount(np.argmin(ann.squared(r.normal(size=(5000, 16)), c.points), 1), minlength=300)
-    assert size.max() < 8 * 5000 / 300
+def index_of(spark, path, x):
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}), f"{path}/x.parquet")
+    df = spark.read.parquet(f"{path}/x.parquet")
+    return df, ann.build(df.select(F.col("vec_id").alias("vid"), "embedding"), len(x))
+
+
+def truth(x, queries, k=10):
+    d = ann.squared(x[queries].astype(float), x.astype(float))
+    d[np.arange(len(queries)), queries] = np.inf
+    return np.argpartition(d, k, 1)[:, :k]
+
+
+def shares(spark, path, x, step):
+    """(recall, stored rows a vector, compared rows as a share of the table, most lists probed, lists)."""
+    df, index = index_of(spark, path, x)
+    asked = ann.probes(df.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("vid"), "embedding"), index, 10)
+    sizes = index.postings.groupBy("list").count()
+    queries = np.arange(0, len(x), step)
+    compared = asked.join(sizes, "list").agg(F.sum("count")).first()[0] / len(queries) / len(x)
+    probed = asked.groupBy("vid").count().agg(F.max("count")).first()[0]
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % step == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = sum(len(got[q] & set(t)) for q, t in zip(queries.tolist(), truth(x, queries).tolist()))
+    return hit / len(queries) / 10, index.postings.count() / len(x), compared, probed, sizes.count()
+
+
+def test_index_of_clustered_vectors(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(1000, 64))[r.integers(0, 1000, 50_000)] + 0.3 * r.normal(size=(50_000, 64))).astype(np.float32)
+    recall, stored, compared, probed, lists = shares(spark, tmp_path, x, 250)
+    assert recall >= 0.98 and stored < 1.2 and compared < 0.01 and probed < lists / 20
+
+
+def test_index_of_vectors_without_clusters(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    recall, stored, compared, probed, lists = shares(spark, tmp_path, x, 250)
+    assert recall >= 0.9 and stored < 1.3 and compared < 0.45 and probed < lists / 2
+
+
+def test_isolated_vectors_and_small_groups_find_all_they_can(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(4000, 32)), 40 * r.normal(size=(40, 32)), np.repeat(r.normal(size=(100, 32)), 5, 0) + 0.01 * r.normal(size=(500, 32))]).astype(np.float32)
+    df, _ = index_of(spark, tmp_path, x)
+    got = ann.nearest(df, F.col("vec_id") % 4 == 0).groupBy("query_id").count().collect()
+    assert len(got) == 1135 and all(g["count"] == 10 for g in got)
+
+
+def test_lists_of_lists(spark, tmp_path, monkeypatch):
+    """Small nodes: three levels, and lists in parts where no level is left."""
+    monkeypatch.setattr(ann, "FAN", 8)
+    monkeypatch.setattr(ann, "LARGE", 40)
+    monkeypatch.setattr(ann, "SALT_VECTORS", 100)
+    x = np.random.default_rng(6).normal(size=(3000, 12)).astype(np.float32)
+    for depth, bundle in ((5, 4000), (1, 100)):
+        monkeypatch.setattr(ann, "DEPTH", depth)
+        monkeypatch.setattr(ann, "BUNDLE_VECTORS", bundle)
+        recall, stored, _, _, lists = shares(spark, tmp_path, x, 30)
+        assert recall >= 0.85 and stored < 2 and lists > 8
+
+
+def test_exact_search_of_the_queries_that_meet_too_few(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(700, 8)).astype(np.float32)
+    monkeypatch.setattr(ann, "probes", lambda queries, index, k: queries.select(F.lit(0).cast("long").alias("list"), "vid").limit(1))
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    df, _ = index_of(spark, tmp_path, x)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    queries = np.arange(0, 700, 20)
+    assert sum(got[q] == set(t) for q, t in zip(queries.tolist(), truth(x, queries).tolist())) >= len(queries) - 1
 
 
 def test_written_tables_survive(spark):
