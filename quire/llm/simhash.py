@@ -5,23 +5,26 @@ differs moves one number by one, so the Manhattan distance of the numbers is a l
 of the Hamming distance. The numbers are places in a grid. Each fingerprint reports to its
 cell and to the cells one step away; two fingerprints within distance 2 share a cell (their
 cell, or the one half-way). That is the range join: equal cells bring candidates, which are
-verified on the bits.
+verified, by the numbers and then on the bits.
 
 Only distinct fingerprints take part, so copies cost nothing. A cell keeps a count, the
-smallest, the largest and the exclusive-or of its members, which name up to three members
-without listing them. Cells with more are crowded: their members (a fingerprint each) report
-to the 65 bit strings within one flip instead, and members of one such string, all within
-two bits of each other, link to its smallest. That finds the same links between crowded
-members with work in proportion to their number; no cell is capped and no pairs are listed.
+smallest, the largest, the exclusive-or and the bits that differ of its members. Up to three
+members are named by these; where few bits differ, members are few and are listed. A cell of
+more is divided: the 64 bits are dealt into three blocks, two fingerprints within distance 2
+agree in one of them at least, so each member goes to three cells, named by the old cell and
+its bits of a block; and so on, with other blocks, until none is left to divide. All links are
+found in cells of at most 2 ** LISTED_BITS members; none is capped, and a large cell's members are never in one place.
 
 Rows: a null text, or one without words, has fingerprint zero, which links like any other.
-Fewer than three words make one shingle. Repeated rows keep their row each. A null doc_id
-takes part; a component of null identifiers only has a null component_id.
+Fewer than three words make one shingle; a long text is all its shingles. Repeated rows keep
+their row each. A null doc_id takes part; a component of null identifiers only has a null
+component_id. An empty table gives an empty result; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SEGMENTS, WIDTH = 16, 4
+#: A cell's members are listed if they differ in so many bits at most.
+LISTED_BITS = 5
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -94,19 +99,56 @@ def _spread(fps: DataFrame, each: int) -> DataFrame:
     return fps.repartition(max(1, -(-fps.count() // each)), "fp")
 
 
+def _blocks(level: int) -> list[int]:
+    """Three masks that share the 64 bits out, otherwise at each level."""
+    order = np.random.default_rng([SEED, level]).permutation(64)
+    masks = [sum(1 << int(i) for i in part) for part in np.array_split(order, 3)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def _met(level: DataFrame) -> DataFrame:
+    """bucket, n, a, b, x, differ: the buckets of ``level`` (bucket, fp) in which fingerprints meet."""
+    told = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x"), F.bit_count(F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("differ")]
+    return written(level.groupBy("bucket").agg(*told).where("n > 1"), "met")
+
+
+def _named(met: DataFrame) -> DataFrame:
+    """The pairs of two or three members."""
+    a, b = F.col("a"), F.col("b")
+    third = a.bitwiseXOR(b).bitwiseXOR(F.col("x"))
+    pairs = F.when(F.col("n") == 2, F.array(_pair(a, b))).otherwise(F.array(_pair(a, b), _pair(a, third), _pair(third, b)))
+    return met.where("n <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def _listed(level: DataFrame, met: DataFrame) -> DataFrame:
+    """The pairs within distance of the members of buckets where few bits differ."""
+    few = met.where((F.col("n") > 3) & (F.col("differ") <= LISTED_BITS)).select("bucket")
+    members = level.join(few, "bucket", "left_semi").groupBy("bucket").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    near = lambda a, m, i: F.filter(F.slice(m, i + 2, F.size(m)), lambda b: F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(near(a, F.col("m"), i), lambda b: _pair(a, b))))
+    return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints at distance 2 or less, enough of them to connect all that any link connects."""
-    grid = cells(_spread(written(fps, "distinct"), 50_000))
-    met = written(grid.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1"), "cells")
-    third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
-    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    pairs = met.where("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(pair(F.col("a"), F.col("b")))).otherwise(F.array(pair(F.col("a"), F.col("b")), pair(F.col("a"), third), pair(third, F.col("b"))))).alias("p")).select("p.a", "p.b")
-    near = pairs.where(manhattan(F.col("a"), F.col("b")) <= DISTANCE).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    crowded = written(grid.join(met.where("n > 3").select("cell"), "cell", "left_semi").select("fp").distinct(), "crowded")
-    around = _spread(crowded, 25_000).select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("point"))
-    lowest = around.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    stars = around.join(lowest, "point").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
-    return near.unionByName(stars)
+    """(a, b): all links between distinct fingerprints, those at distance 2 or less; some of them repeatedly."""
+    level = cells(_spread(written(fps, "distinct"), 50_000)).withColumnRenamed("cell", "bucket")
+    found, depth = [], 0
+    while True:
+        met = _met(level)
+        found.append(_named(met))
+        crowded = written(met.where("n > 3").select("bucket", "n", "differ"), "crowded")
+        if crowded.isEmpty():
+            break
+        found.append(_listed(level, crowded))
+        divided = level.join(crowded.where(F.col("differ") > LISTED_BITS).select("bucket"), "bucket", "left_semi")
+        parts = F.array(*[F.xxhash64("bucket", F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))) for i, mask in enumerate(_blocks(depth))])
+        level, depth = written(divided.select("fp", F.explode(parts).alias("bucket")), "divided"), depth + 1
+    near = (manhattan(F.col("a"), F.col("b")) <= DISTANCE) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+    return reduce(DataFrame.unionByName, found).where(near)
 
 
 def classes(rows: DataFrame) -> DataFrame:
