@@ -79,14 +79,17 @@ spots as (select leaf, tokens, n, unnest(range(len(tokens))) as at_, unnest(toke
 constants as (select leaf, at_, token from spots group by 1, 2, 3 having sum(n) >= {k.MIN_TEXTS}),
 kept as (select leaf, tokens, list(at_::varchar || chr(2) || token order by at_) as kept from spots join constants using (leaf, at_, token) group by 1, 2),
 named as (select leaf, tokens, leaf || chr(3) || array_to_string(kept, chr(3)) as template from kept where len(kept) >= {k.SIMILAR} * len(tokens)),
-placed as (select text, line, template from lines join named using (leaf, tokens)),
-recurring as (select template from placed group by 1 having count(distinct text) >= {k.MIN_TEXTS}),
-drops as (select text, list(distinct line order by line) as gone from placed join recurring using (template) group by 1),
-sized as (select text, gone, string_split(text, chr(10)) as ls, list_transform(string_split(text, chr(10)), lambda x: len(list_filter(string_split_regex(x, '{space}+'), lambda t: t <> ''))) as sizes from drops),
-judged as (select text, gone, ls, list_sum(list_transform(gone, lambda i: sizes[i + 1])) <= {k.MAX_LOST!r} * list_sum(sizes) as loses from sized)
-select doc_id, case when loses then array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: not list_contains(gone, i - 1)), lambda i: ls[i]), chr(10)) else d.text end as text,
-  coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, case when loses then len(gone) else 0 end::bigint as n_dropped
-from documents d left join judged j on j.text = d.text"""
+placed as (select text, line, len(tokens) as n, template from lines join named using (leaf, tokens)),
+candidates as (select template from placed group by 1 having count(distinct text) >= {k.MIN_TEXTS}),
+found as (select * from placed semi join candidates using (template)),
+totals as (select text, sum(len(list_filter(tokens, lambda t: t <> ''))) as total from toks group by 1),
+held as (select text, {k.COPY_PARTS} * sum(n) > {k.COPY_OF} * any_value(total) as copy, arg_min(template, line) as first_ from found join totals using (text) group by 1),
+told as (select distinct template, copy, case when copy then first_ else text end as who from found join held using (text)),
+recurring as (select template from told group by 1 having count(*) >= {k.MIN_TEXTS}),
+drops as (select text, list(distinct line order by line) as gone, string_split(text, chr(10)) as ls from found join recurring using (template) group by 1)
+select doc_id, case when gone is not null then array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: not list_contains(gone, i - 1)), lambda i: ls[i]), chr(10)) else d.text end as text,
+  coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_dropped
+from documents d left join drops j on j.text = d.text"""
 
 
 def secret_sql() -> str:
@@ -99,7 +102,7 @@ def secret_sql() -> str:
             f"select rid, {rank} as rank, '{kind}' as kind, '{c.ROLES[kind]}' as role, {str(weak).lower()} as weak, string_split(regexp_replace(t, '{quoted(pattern)}', chr(1) || '\\0' || chr(2) || '\\1' || chr(3), 'g'), chr(1)) as ps from d"
         )
     tests = " when ".join(f"kind = '{k}' then length(g) >= {n}" for k, _, n in c.BASE)
-    mixed = " and ".join([f"length(g) <= {c.LONGEST_SECRET}", *[f"regexp_matches(g, '{p}')" for p in c.MIXED]])
+    mixed = " and ".join(f"regexp_matches(g, '{p}')" for p in c.MIXED)
     said = lambda which: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank, stop) filter ({which}), '')"
     return f"""with d as (select row_number() over () as rid, doc_id, regexp_replace(coalesce(text, ''), '[\x01-\x03]', chr(4), 'g') as t from documents),
 marked as ({" union all ".join(kinds)}),
@@ -108,7 +111,7 @@ measured as (select *, length(split_part(p, chr(2), 1)) as m, split_part(split_p
 placed as (select *, first_ + coalesce(sum(m + r) over (partition by rid, rank order by i rows between unbounded preceding and 1 preceding), 0) as at_ from measured),
 parts as (select distinct rid, rank, kind, role, weak, (case when weak then at_ + m - length(g) else at_ end)::bigint as start, (at_ + m)::bigint as stop from placed
   where case when {tests} when kind = 'weak_secret' then {mixed} else true end),
-met as (select w.rid, w.rank, w.start, w.stop, w.role, bool_or(o.role = 'id') as has_id, bool_or(o.role = 'secret') as has_secret from parts w join parts o on o.rid = w.rid and o.role <> w.role and abs(o.start - w.start) <= {c.SCOPE} where w.weak group by 1, 2, 3, 4, 5),
+met as (select w.rid, w.rank, w.start, w.stop, w.role, bool_or(o.role = 'id') as has_id, bool_or(o.role = 'secret') as has_secret from parts w join parts o on o.rid = w.rid and o.role <> w.role and o.start - w.stop <= {c.SCOPE} and w.start - o.stop <= {c.SCOPE} where w.weak group by 1, 2, 3, 4, 5),
 linked as (select rid, rank, start, stop from met where case when role = 'endpoint' then has_id and has_secret else has_id or has_secret end),
 kept as (select p.* from parts p left join linked l using (rid, rank, start, stop) where not p.weak or l.rid is not null)
 select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, sha256({said("kind is not null and not weak")}) as base_sha256, {said("kind is not null")} as spans

@@ -77,6 +77,23 @@ def test_links_of_dense_groups(spark, seed, spread):
     assert {v: found.get(v, v) for v in values} == roots(values)
 
 
+def test_a_thousand_fingerprints_in_one_cell(spark):
+    """Two bits of each segment, so all have one cell; and a ball around one fingerprint."""
+    r = random.Random(4)
+    two = [x for x in range(16) if bin(x).count("1") == 2]
+    cell = {sum(r.choice(two) << 4 * i for i in range(16)) for _ in range(500)}
+    for x in list(cell)[:250]:  # a swap within a segment stays in the cell
+        i = 4 * r.randrange(16)
+        cell.add(x & ~(15 << i) | r.choice(two) << i)
+    ball = {0x5555555555555555 ^ (1 << i) ^ (1 << j) for i in range(0, 64, 2) for j in range(0, i + 1, 2)}
+    far = {0x123456789ABCDEF0 ^ sum(1 << r.randrange(64) for _ in range(4)) & (1 << 64) - 1 for _ in range(300)}
+    values = {x - (1 << 64) if x >> 63 else x for x in cell | ball | far}
+    got = {tuple(sorted(p)) for p in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).distinct().collect()}
+    order = sorted(values)
+    want = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    assert got == want and len(want) > 10_000
+
+
 def test_segments_bound_the_distance(spark):
     r = np.random.default_rng(0)
     df = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(-(1 << 63), 1 << 63, (200, 2))], "a long, b long")
