@@ -24,29 +24,42 @@ def _cholesky() -> str:
     return ", ".join(out)
 
 
-def _step(name: str, before: str, share: float | None, limit: float | None, factor: float) -> str:
+PARTS = outliers.PARTS
+
+
+def _moments(keys: str, source: str) -> str:
     sums = ", ".join([f"sum(x{i}) as s{i}" for i in range(D)] + [f"sum(x{i} * x{j}) as c{i}{j}" for i, j in CROSS])
-    again = ", ".join(["sum(n) as n", *[f"sum(s{i}) as s{i}" for i in range(D)], *[f"sum(c{i}{j}) as c{i}{j}" for i, j in CROSS]])
+    return f"select {keys}, count(*)::double as n, {sums} from {source}"
+
+
+def _estimate(name: str, keys: str, factor: float) -> str:
+    """From {name}_t to {name}_n."""
     means = ", ".join([f"s{i} / n as m{i}" for i in range(D)] + [f"c{i}{j} / n as q{i}{j}" for i, j in CROSS])
-    covs = ", ".join(f"(q{i}{j} - m{i} * m{j}) * {factor!r} + {FLOORS[i] ** 2 if i == j else 0.0!r} as a{i}{j}" for i, j in CROSS)
-    keep = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in CROSS]
+    cov = lambda i, j: f"(q{i}{j} - m{i} * m{j}) * {factor!r}"
+    covs = ", ".join(f"greatest({cov(i, j)}, {FLOORS[i] ** 2!r}) as a{i}{j}" if i == j else f"{cov(i, j)} as a{i}{j}" for i, j in CROSS)
+    det = " + ".join(f"ln(l{i}{i})" for i in range(D))
+    return f"{name}_m as (select {keys}, {means} from {name}_t), {name}_a as (select *, {covs} from {name}_m), {name}_l as (select *, {_cholesky()} from {name}_a), {name}_n as (select {keys}, {', '.join(PARTS[:-1])}, 2 * ({det}) as det from {name}_l)"
+
+
+def _step(name: str, before: str) -> str:
+    o = outliers
+    part = ", ".join(f"sum({c} * part) as {c}" for c in o.SUMS)
+    falls = f"n.det < o.det - {o.STILL!r}"
+    either = ", ".join(f"case when {falls} then n.{c} else o.{c} end as {c}" for c in PARTS)
     return f"""
-{name}_d as (select g, x0, x1, x2, x3, x4, {_distance()} as d from v join {before} using (g) where n_words > 0),
-{name}_c as (select g, floor(ln(d + 1e-6) * 16) as b, count(*) as n, {sums} from {name}_d {f"where d <= {limit!r}" if limit is not None else ""} group by 1, 2),
-{name}_k as (select *, coalesce(sum(n) over (partition by g order by b rows between unbounded preceding and 1 preceding), 0) as before_, sum(n) over (partition by g) as all_ from {name}_c),
-{name}_t as (select g, {again} from {name}_k {f"where before_ < {share!r} * all_" if share is not None else ""} group by 1),
-{name}_m as (select g, {means} from {name}_t), {name}_a as (select *, {covs} from {name}_m), {name} as (select g, {", ".join(keep[:D])}, {_cholesky()} from {name}_a)"""
+{name}_d as (select g, s, x0, x1, x2, x3, x4, floor(ln({_distance()} + 1e-6) * 16) as b from told join {before} using (g)),
+{name}_c as ({_moments("g, s, b", f"{name}_d")} group by 1, 2, 3),
+{name}_k as (select *, coalesce(sum(n) over (partition by g, s order by b rows between unbounded preceding and 1 preceding), 0) as before_, sum(n) over (partition by g, s) as all_ from {name}_c),
+{name}_p as (select *, least(1.0, ({o.KEEP!r} * all_ - before_) / n) as part from {name}_k where before_ < {o.KEEP!r} * all_),
+{name}_t as (select g, s, {part} from {name}_p group by 1, 2),
+{_estimate(name, "g, s", o.consistency(o.KEEP))}, {name} as materialized (select o.g, o.s, {either} from {before} o join {name}_n n on o.g = n.g and o.s = n.s)"""
 
 
 def outlier_sql() -> str:
     o = outliers
-    names, sql = ["e0"], ""
-    for k in range(o.STEPS):
-        sql += "," + _step(f"e{k + 1}", names[-1], o.KEEP, None, o.consistency(o.KEEP))
-        names.append(f"e{k + 1}")
-    sql += "," + _step("e_last", names[-1], None, o.chi_square_quantile(o.REWEIGHT, D), o.consistency(o.REWEIGHT))
+    sql = "".join("," + _step(f"e{k + 1}", f"e{k}") for k in range(o.STEPS))
     quartiles = ", ".join(f"max(case when i = {i} then m end) as m{i}, greatest(max(case when i = {i} then s end), {FLOORS[i]!r}) as l{i}{i}" + "".join(f", 0.0 as l{i}{j}" for j in range(i)) for i in range(D))
-    word = r"[^\x20\x09-\x0D]"
+    word, plain = r"[^\x20\x09-\x0D]", ", ".join(PARTS[:-1])
     return rf"""with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '{word}+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) as ls, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols from d),
 win as (select rid, i, array_to_string(ws[i:i + {o.WINDOW - 1}], ' ') as x from (select rid, ws, unnest(range(1, len(ws) - {o.WINDOW - 2})) as i from w)),
@@ -57,13 +70,19 @@ keyed as (select *, coalesce('=' || lang, '') as kl, coalesce('=' || source, '')
   sqrt(n_dup_lines / greatest(n_lines, 1)) as x3, sqrt(n_repeat_words / greatest(n_words, 1)) as x4 from stats),
 sizes as (select kl, ks, count(*) as c from keyed group by 1, 2), lefts as (select kl, coalesce(sum(case when c < {o.MIN_GROUP} then c end), 0) as l from sizes group by 1),
 names as (select kl, ks, case when c >= {o.MIN_GROUP} then kl || chr(1) || ks when l >= {o.MIN_GROUP} then kl || chr(2) else chr(3) end as g from sizes join lefts using (kl)),
-v as (select * from keyed join names using (kl, ks)), group_sizes as (select g, count(*) as group_size from v group by 1),
-cells as (select g, i, floor(x * 100) as b, count(*) as c from (select g, unnest([0, 1, 2, 3, 4]) as i, unnest([x0, x1, x2, x3, x4]) as x from v where n_words > 0) group by 1, 2, 3),
+v as materialized (select * from keyed join names using (kl, ks)),
+grouped as (select g, doc_id, n_words, x0, x1, x2, x3, x4 from v where g <> chr(3) union all select chr(3), doc_id, n_words, x0, x1, x2, x3, x4 from v),
+group_sizes as (select g, count(*) as group_size from grouped group by 1), told as materialized (select * from grouped where n_words > 0),
+cells as (select g, i, floor(x * 100) as b, count(*) as c from (select g, unnest([0, 1, 2, 3, 4]) as i, unnest([x0, x1, x2, x3, x4]) as x from told) group by 1, 2, 3),
 placed as (select g, i, b, sum(c) over (partition by g, i order by b) as upto, sum(c) over (partition by g, i) as n from cells),
 quart as (select g, i, min(case when upto >= 0.5 * n then (b + 0.5) / 100 end) as m, (min(case when upto >= 0.75 * n then (b + 0.5) / 100 end) - min(case when upto >= 0.25 * n then (b + 0.5) / 100 end)) / 1.349 as s from placed group by 1, 2),
-e0 as (select g, {quartiles} from quart group by 1){sql},
+q0 as (select g, {quartiles} from quart group by 1),
+half_t as ({_moments("g, case when md5(doc_id::varchar)[1:1] < '8' then 1 else 2 end as s", "told")} group by 1, 2), {_estimate("half", "g, s", 1.0)},
+e0 as materialized (select g, 0 as s, {plain}, 'inf'::double as det from q0 union all select g, s, {plain}, 'inf'::double from half_n){sql},
+best as (select g, {plain} from e{o.STEPS} qualify row_number() over (partition by g order by det, s) = 1),
+last_t as ({_moments("g", "(select told.* from told join best using (g) where " + _distance() + f" <= {o.chi_square_quantile(o.REWEIGHT, D)!r})")} group by 1), {_estimate("last", "g", o.consistency(o.REWEIGHT))},
 judged as (select v.*, n_words < {o.MIN_WORDS} or 100 * n_repeat_words > {o.MAX_REPEAT_PERCENT} * n_words as base_failed,
-  case when group_size >= {o.MIN_GROUP} and n_words > 0 then {_distance()} end as distance from v left join e_last using (g) join group_sizes using (g))
+  case when group_size >= {o.MIN_GROUP} and n_words > 0 then {_distance()} end as distance from v left join last_n using (g) join group_sizes using (g))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(distance <= {o.chi_square_quantile(o.REJECT, D)!r}, true) as kept from judged"""
 
 

@@ -2,20 +2,24 @@
 
 Base statistics come from each text's words and lines. Their transformed vector (five
 numbers) is held against a minimum-covariance-determinant estimate of the document's
-language and source: a start from quartiles, then concentration steps, each of which keeps
-the three quarters of the group's documents nearest by Mahalanobis distance and takes their
-mean and covariance anew, and a last, reweighted step over all that aren't outlying. A
-document is rejected when its distance to that estimate exceeds a chi-square quantile.
+language and source. There are three starts: quartiles, and the moments of either half of the
+documents, parted by a hash. From each, concentration steps keep the KEEP of the group's
+documents nearest by Mahalanobis distance and take their mean and covariance anew, until the
+determinant falls no more; the start that ends with the smallest determinant wins, and a last
+step reweights over all that aren't outlying. A document is rejected when its distance to
+that estimate exceeds a chi-square quantile.
 
-A step is one aggregation: moments by group and distance bin, so the nearest three quarters
-are the bins up to the one that reaches them. A group's state is its bins, whatever its size.
+A step is one aggregation: moments by group and distance bin, so the nearest are the bins up
+to the one that reaches the share, of which only the part needed counts. A group's state is
+its bins, whatever its size.
 
-Groups with fewer than MIN_GROUP documents pool by language, then all together; a pool that
-small still judges nothing. Variances have a floor, so that a constant number (no symbols
-at all) doesn't make one symbol infinitely far.
+Groups with fewer than MIN_GROUP documents pool by language; what is still fewer is held
+against the estimate of all documents, which judges nothing if these are fewer too. Variances
+have a least value, so that a constant number (no symbols at all) doesn't make one symbol infinitely far.
 
 Rows: a null text has no words and fails the base. Null language or source is a group like
-any other. Repeated rows count each.
+any other. Repeated rows count each. A long text is all its words and lines. An empty table
+gives an empty result; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -30,14 +34,17 @@ from .common import written
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MIN_GROUP, KEEP, STEPS, REWEIGHT, REJECT = 100, 0.75, 3, 0.975, 1 - 1e-7
+MIN_GROUP, KEEP, STEPS, REWEIGHT, REJECT = 100, 0.75, 8, 0.975, 0.9999
+#: Log determinants that fall by less than this have stopped to fall.
+STILL = 1e-9
 #: Smallest standard deviations of the transformed numbers.
 FLOORS = (0.5, 0.1, 0.05, 0.15, 0.1)
 D = len(FLOORS)
-#: Up to so many groups go to every task; more are joined by shuffle.
-BROADCAST_GROUPS = 20_000
 X = [f"x{i}" for i in range(D)]
 CROSS = [(i, j) for i in range(D) for j in range(i + 1)]
+PARTS = [*[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in CROSS], "det"]
+#: The group that is all documents.
+ALL = "\u0003"
 
 
 def let(value: Column, body) -> Column:
@@ -117,14 +124,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
     sizes = keys.groupBy("kl", "ks").count()
     small = F.col("count") < MIN_GROUP
     left = sizes.groupBy("kl").agg(F.coalesce(F.sum(F.when(small, F.col("count"))), F.lit(0)).alias("left"))
-    names = sizes.join(left, "kl").select("kl", "ks", F.when(~small, F.concat_ws("\u0001", "kl", "ks")).when(F.col("left") >= MIN_GROUP, F.concat("kl", F.lit("\u0002"))).otherwise(F.lit("\u0003")).alias("g"))
-    names = written(names, "groups")  # read back, both sides of a large join are plain and a hot group can be split
-    return keys.join(F.broadcast(names) if names.count() <= BROADCAST_GROUPS else names, ["kl", "ks"]).drop("kl", "ks")
-
-
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` beside their group's row of ``groups``, a written table of a row a group."""
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "g")
+    names = sizes.join(left, "kl").select("kl", "ks", F.when(~small, F.concat_ws("\u0001", "kl", "ks")).when(F.col("left") >= MIN_GROUP, F.concat("kl", F.lit("\u0002"))).otherwise(F.lit(ALL)).alias("g"))
+    # Read back, both sides are plain: Spark broadcasts the names if they are small, and can split a hot group if not.
+    return keys.join(written(names, "groups"), ["kl", "ks"]).drop("kl", "ks")
 
 
 def _distance() -> Column:
@@ -135,7 +137,7 @@ def _distance() -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _quartiles(rows: DataFrame) -> DataFrame:
     """Medians and quartile spreads of each group, from counts by fine bins, as a diagonal estimate."""
     fine = 100
     cells = rows.select("g", F.posexplode(F.array(*X)).alias("i", "x")).groupBy("g", "i", F.floor(F.col("x") * fine).alias("b")).count()
@@ -148,37 +150,68 @@ def _start(rows: DataFrame) -> DataFrame:
     return per.groupBy("g").agg(*out)
 
 
-def _step(rows: DataFrame, estimate: DataFrame, share: float | None, limit: float | None, factor: float) -> DataFrame:
-    """The next estimate: from the nearest ``share`` of each group, or from all within distance ``limit``; covariances times ``factor``."""
-    near = _with(rows, estimate).select("g", *X, _distance().alias("d"))
-    if limit is not None:
-        near = near.where(F.col("d") <= limit)
-    sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"c{i}{j}") for i, j in CROSS]]
-    cells = near.groupBy("g", F.floor(F.log(F.col("d") + 1e-6) * 16).alias("b")).agg(*sums)
-    if share is not None:
-        before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        cells = cells.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("g"))}).where(F.col("before") < share * F.col("all"))
-    total = cells.groupBy("g").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(D)], *[f"c{i}{j}" for i, j in CROSS]]])
-    means = total.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)], *[(F.col(f"c{i}{j}") / F.col("n")).alias(f"c{i}{j}") for i, j in CROSS])
-    covs = means.select("g", *[f"m{i}" for i in range(D)], *[((F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"a{i}{j}") for i, j in CROSS])
+def _moments(rows: DataFrame, *keys) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"c{i}{j}") for i, j in CROSS])
+
+
+SUMS = ["n", *[f"s{i}" for i in range(D)], *[f"c{i}{j}" for i, j in CROSS]]
+
+
+def _estimate(total: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """Means, Cholesky factor of the covariance (times ``factor``) and log determinant, from moments."""
+    means = total.select(*keys, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)], *[(F.col(f"c{i}{j}") / F.col("n")).alias(f"c{i}{j}") for i, j in CROSS])
+    cov = lambda i, j: (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
+    covs = means.select(*keys, *[f"m{i}" for i in range(D)], *[(F.greatest(cov(i, j), F.lit(FLOORS[i] ** 2)) if i == j else cov(i, j)).alias(f"a{i}{j}") for i, j in CROSS])
     for i in range(D):  # Cholesky, a column of the factor at a time
         covs = covs.withColumn(f"l{i}{i}", F.sqrt(F.greatest(F.col(f"a{i}{i}") - sum((F.col(f"l{i}{k}") * F.col(f"l{i}{k}") for k in range(i)), F.lit(0.0)), F.lit(FLOORS[i] ** 2 / 4))))
         covs = covs.withColumns({f"l{j}{i}": (F.col(f"a{j}{i}") - sum((F.col(f"l{j}{k}") * F.col(f"l{i}{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}") for j in range(i + 1, D)} or {f"l{i}{i}": F.col(f"l{i}{i}")})
-    return covs.select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in CROSS])
+    return covs.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00"))).select(*keys, *PARTS)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The estimates to start from, by group and start s; with no determinant, as they aren't of the share that is kept."""
+    half = F.when(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8", 1).otherwise(2)
+    halves = _estimate(_moments(rows.withColumn("s", half), "g", "s"), 1.0, "g", "s")
+    both = _quartiles(rows).withColumn("s", F.lit(0)).withColumn("det", F.lit(0.0)).select("g", "s", *PARTS).unionByName(halves)
+    return both.withColumn("det", F.lit(float("inf"))).withColumn("fell", F.lit(True))
+
+
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates after a concentration step, where their determinants fall; fell says so."""
+    near = rows.join(now, "g").select("g", "s", *X, F.floor(F.log(_distance() + 1e-6) * 16).alias("b"))
+    cells = _moments(near, "g", "s", "b")
+    before = Window.partitionBy("g", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0.0)), "all": F.sum("n").over(Window.partitionBy("g", "s"))}).where(F.col("before") < KEEP * F.col("all"))
+    part = F.least(F.lit(1.0), (KEEP * F.col("all") - F.col("before")) / F.col("n"))
+    total = cells.withColumn("part", part).groupBy("g", "s").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in SUMS])
+    new = _estimate(total, consistency(KEEP), "g", "s").select("g", "s", F.struct(*PARTS).alias("new"))
+    met = now.select("g", "s", F.struct(*PARTS).alias("old")).join(new, ["g", "s"]).withColumn("fell", F.col("new.det") < F.col("old.det") - STILL)
+    return met.select("g", "s", F.when(F.col("fell"), F.col("new")).otherwise(F.col("old")).alias("e"), "fell").select("g", "s", "e.*", "fell")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The group's estimate (means, factor, log determinant) for each g of ``rows`` (g, doc_id, x0..)."""
+    now = written(_starts(rows), "estimate")
+    for _ in range(STEPS):
+        now = written(_step(rows, now), "estimate")
+        if now.where("fell").isEmpty():
+            break
+    best = now.groupBy("g").agg(F.min_by(F.struct(*PARTS), F.struct("det", "s")).alias("e")).select("g", "e.*")
+    near = rows.join(written(best, "best"), "g").where(_distance() <= chi_square_quantile(REWEIGHT, D)).select("g", *X)
+    return _estimate(_moments(near, "g"), consistency(REWEIGHT), "g")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base statistics of ``docs`` with base_failed, kept and distance (squared Mahalanobis, null where the group is too small)."""
     rows = written(_vectors(base_statistics(docs)), "statistics")
     rows = written(_grouped(rows), "vectors")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("group_size"))
-    told = rows.where("n_words > 0")
-    estimate = written(_start(told), "estimate")
-    for _ in range(STEPS):
-        estimate = written(_step(told, estimate, KEEP, None, consistency(KEEP)), "estimate")
-    estimate = written(_step(told, estimate, None, chi_square_quantile(REWEIGHT, D), consistency(REWEIGHT)), "estimate")
-    estimate = written(estimate.join(sizes, "g", "left"), "estimate")
-    placed = rows.join(F.broadcast(estimate) if estimate.count() <= BROADCAST_GROUPS else estimate, "g", "left")
+    # All documents are a group beside their own where some are held against it.
+    told = rows.where(F.col("g") != ALL)
+    if not rows.where(F.col("g") == ALL).isEmpty():
+        told = told.unionByName(rows.withColumn("g", F.lit(ALL)))
+    sizes = told.groupBy("g").agg(F.count("*").alias("group_size"))
+    estimate = written(estimates(told.where("n_words > 0")).join(sizes, "g"), "estimate")
+    placed = rows.join(estimate, "g", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     distance = F.when((F.col("group_size") >= MIN_GROUP) & (F.col("n_words") > 0), _distance())
     out = placed.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), distance.alias("distance"))

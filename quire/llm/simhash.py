@@ -166,11 +166,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents of ``docs`` that stay: of each component the one with the smallest doc_id (null last; then the smallest text key). Fully repeated rows count as one."""
     identity = ["missing", "id", "key"]
     keyed = documents_only(docs).withColumns({"missing": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "key": F.coalesce(row_key(F.col("text")), F.lit(0))})
-    rows = written(fingerprints(keyed.select("doc_id", *identity, "text")), "fingerprints")
+    rows = written(fingerprints(keyed.select("doc_id", *identity, "text"), shingle), "fingerprints")
     kept = classes(rows).groupBy("root").agg(F.min(F.struct(*identity)).alias("k")).select("k.*").distinct()
     # The join brings equal rows together; the numbering reads them as they come.
     same = Window.partitionBy(*identity).orderBy("lang", "source", "n_chars")

@@ -60,15 +60,51 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark):
     assert got[2000].base_failed and not got[2000].kept and not got[2001].kept
 
 
-def test_estimate_matches_a_direct_computation(spark):
-    """One reweighted step over everything equals mean and covariance by numpy."""
-    rows = [(i, words(20 + i % 37, i)) for i in range(200)]
-    told = outliers._grouped(outliers._vectors(outliers.base_statistics(documents(spark, rows))))
-    start = outliers.written(outliers._start(told), "t")
-    got = outliers._step(told, start, None, 1e9, 1.0).first()
-    x = np.array([[r[c] for c in outliers.X] for r in told.collect()])
-    lower = np.array([[got[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    assert np.allclose([got[f"m{i}"] for i in range(5)], x.mean(0)) and np.allclose(lower @ lower.T, np.cov(x.T, bias=True) + np.diag(np.square(outliers.FLOORS)))
+def determinant(x, keep):
+    """The smallest log determinant that concentration steps reach from many small random starts, by numpy, and its subset's mean."""
+    r, floors, factor = np.random.default_rng(0), np.square(outliers.FLOORS), outliers.consistency(keep)
+    best = (np.inf, None)
+
+    def spread(y):
+        c = np.cov(y.T, bias=True) * factor
+        return c + np.diag(np.maximum(floors - np.diag(c), 0))
+
+    for _ in range(60):
+        at = r.choice(len(x), 12, replace=False)
+        m, c = x[at].mean(0), spread(x[at])
+        for _ in range(20):
+            d = np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+            near = np.argsort(d)[: int(keep * len(x))]
+            m, c = x[near].mean(0), spread(x[near])
+        best = min(best, (np.linalg.slogdet(c)[1], tuple(m)))
+    return best
+
+
+def test_the_estimate_has_the_smallest_determinant(spark, monkeypatch):
+    """A third of the vectors are far off: the estimate is that of the others, as by brute force."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(400, 5)) * [0.8, 0.3, 0.2, 0.4, 0.3], r.normal(size=(80, 5)) * 0.2 + 6])
+    rows = spark.createDataFrame([("g", i, *map(float, v)) for i, v in enumerate(x)], "g string, doc_id long, x0 double, x1 double, x2 double, x3 double, x4 double")
+    now = outliers.written(outliers._starts(rows), "t")
+    seen = []
+    for _ in range(outliers.STEPS):
+        now = outliers.written(outliers._step(rows, now), "t")
+        seen.append({e.s: e.det for e in now.collect()})
+    assert all(b[s] <= a[s] for a, b in zip(seen, seen[1:]) for s in a)
+    least, mean = determinant(x, outliers.KEEP)
+    won = min(now.collect(), key=lambda e: e.det)
+    assert won.det < least + 0.1 and np.allclose([won[f"m{i}"] for i in range(5)], mean, atol=0.1)
+    last = outliers.estimates(rows).first()
+    lower = np.array([[last[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+    assert np.allclose(np.sqrt(np.diag(lower @ lower.T)), [0.8, 0.3, 0.2, 0.4, 0.3], rtol=0.2) and abs(last.det - np.linalg.slogdet(lower @ lower.T)[1]) < 1e-9
+
+
+def test_small_groups_are_held_against_all(spark):
+    clean = [(i, "\n".join(words(12, 10 * i + k) for k in range(5)), "en") for i in range(300)]
+    few = [(1000, "# % & " * 60 + words(50, 1), "xx"), (1001, "\n".join(words(12, 9000 + k) for k in range(5)), "yy")]
+    df = spark.createDataFrame(clean + few, "doc_id long, text string, lang string").selectExpr("*", "'s' as source")
+    got = {r.doc_id: r.kept for r in outliers.judge(df).where("not base_failed").collect()}
+    assert not got.get(1000, False) and got[1001] and sum(got[i] for i in range(300)) >= 298
 
 
 def test_small_groups_judge_nothing(spark):
