@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import credentials, langid, linededup, nearcopies, packing
+from quire.llm import credentials, langid, linededup, nearcopies, packing, simhash
 from quire.llm.common import DOCUMENT_COLUMNS, documents_only, scratch, table
 from quire.llm.tokens import public_path
 
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles have a similarity of 0.8 or more, the first stays."""
-    return nearcopies.one_of_each(docs)
+    """Of documents near one another by SimHash over five-word shingles the first stays; then of those whose shingles have a similarity of 0.8 or more."""
+    return nearcopies.one_of_each(simhash.one_of_each(docs, nearcopies.SHINGLE))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
