@@ -27,7 +27,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     add.add_argument("--reessayer", action="store_true")
     commands.add_parser("etat")
     commands.add_parser("mesures")
-    commands.add_parser("reconvertir").add_argument("--oui", action="store_true")
+    for name in ("reconvertir", "reinitialiser"):
+        commands.add_parser(name).add_argument("--oui", action="store_true")
     args = parser.parse_args(argv)
     try:
         if args.command == "init":
@@ -45,7 +46,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.command == "mesures":
             print("\n".join(jobs.statistics(spark, root)))
         else:
-            print(jobs.reconvert(spark, root, clock, dry_run=not args.oui))
+            job = {"reconvertir": jobs.reconvert, "reinitialiser": jobs.reset}[args.command]
+            print(" · ".join(f"{k} {n}" for k, n in sorted(job(spark, root, clock, dry_run=not args.oui).items())))
         return 0
     except KeyboardInterrupt:
         return 130

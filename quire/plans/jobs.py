@@ -115,6 +115,8 @@ def convert_pending(spark: SparkSession, root: str, now: str, readers: dict[str,
     placed = wanted.join(names.select("ord", "name"), "ord").select("sha256", F.concat("folder", F.lit("/"), "name").alias("new_path"))
     good = checkpointed(good.join(placed, "sha256", "left").withColumn("markdown", F.coalesce("markdown", "new_path")).drop("new_path"))
     failed = waiting.join(results.where("error is not null").select("sha256"), "sha256", "left_semi")
+    # Paths are recorded before notes are written: a run that was cut off in between writes the same files.
+    _record(good.join(placed.select("sha256"), "sha256", "left_semi"), root)
     sinks.write_notes(_full_notes(good, results, everything), root)
     done = checkpointed(manifest.converted(good.unionByName(failed.select(*good.columns)), results))
     _record(done, root)
@@ -192,13 +194,37 @@ def reconvert(spark: SparkSession, root: str, clock: Callable[[], str], readers:
     sinks.write_notes(old.select(F.concat("prefix", F.lit(".md")).alias("path"), "markdown"), run)
     results = checkpointed(_results(todo, root, clock(), readers))
     after = checkpointed(manifest.reconverted(todo, results))
-    sinks.write_notes(_full_notes(todo.select(*FIELDS), results, docs), root)
+    # Recorded before they are written: notes of a run that was cut off aren't taken for edited ones.
     _record(after.drop("outcome"), root)
+    sinks.write_notes(_full_notes(todo.select(*FIELDS), results, docs), root)
     sinks.write_notes(after.select(F.concat(F.left("sha256", F.lit(16)), F.lit(".done.md")).alias("path"), F.lit("").alias("markdown")), run)
     sinks.write_whole(os.path.join(run, "terminee"), clock().encode())
     return counts | {f"now_{r['outcome']}": r["n"] for r in after.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
 
 
+#: What a reset leaves in place.
+KEPT = {".corpus", "originaux", ".obsidian"}
+
+
+def reset(spark: SparkSession, root: str, clock: Callable[[], str], dry_run: bool = True) -> dict[str, int]:
+    """Set all notes and lists aside under ``.corpus/reinitialisations`` and make every document pending; with ``dry_run`` only the plan's counts.
+
+    Refused while an original is missing. Cut off, it can be run again: what was set aside stays there.
+    """
+    docs = checkpointed(documents(spark, root))
+    plan = report.reset_plan(docs, notes(spark, root).select("path"))
+    fresh = checkpointed(manifest.reset(docs, stored(spark, root).select("original")))
+    if dry_run:
+        return plan
+    aside = os.path.join(root, ".corpus", "reinitialisations", clock()[:19].replace(":", "-"))
+    os.makedirs(aside, exist_ok=True)
+    for name in sorted(set(os.listdir(root)) - KEPT):
+        os.replace(os.path.join(root, name), os.path.join(aside, name))
+    os.makedirs(os.path.join(root, "corpus", text.INBOX), exist_ok=True)
+    _record(fresh, root)
+    return plan
+
+
 def move(spark: SparkSession, root: str, sha256: str, folder: str, name: str) -> str:
     """File a document's note under ``folder``; its new path in the corpus folder."""
     where = spark.range(1).select(text.safe_folder(F.lit(folder)).alias("f"), text.safe_name(F.lit(name)).alias("n")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
-from ..functions.parsers import read_docx, read_mail
+from ..functions.parsers import mail_text, read_docx, read_mail
 
 FILES = "ord long, path string, name string"
 CATALOGUE = "id string, sha256 string, original string, page int, kind string"
@@ -78,7 +78,7 @@ def _one_page(method: str, page_text: Column) -> Column:
 
 def _mail_pages(content: Column) -> Column:
     read = read_mail(content)
-    return F.struct(_one_page("eml", read["text"]).alias("pages"), read["error"].alias("error"))
+    return F.struct(_one_page("eml", mail_text(read)).alias("pages"), read["error"].alias("error"))
 
 
 def _docx_pages(content: Column) -> Column:

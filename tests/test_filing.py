@@ -51,8 +51,9 @@ class Model(BaseHTTPRequestHandler):
 def test_local_model(tmp_path):
     server = HTTPServer(("127.0.0.1", 0), Model)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    (tmp_path / "c.toml").write_text(f'[ia]\nurl = "http://127.0.0.1:{server.server_port}"\nmodel = "m"\n')
+    (tmp_path / "c.toml").write_text(f'[ia]\nurl = "http://127.0.0.1:{server.server_port}"\nmodele = "m"\ndelai = 5\n')
     config = local_model.load_config(str(tmp_path / "c.toml"))
+    assert config.timeout == 5 and local_model.form({"properties": {"a": {"type": "array"}, "b": {"type": "string"}}}) == '{"a": [], "b": "…"}'
     Model.answers = ["no", "{}"]
     assert local_model.ask(config, "?", {}, lambda a: None if a == "{}" else "pas du JSON") == "{}" and "pas du JSON" in Model.seen[-1]["content"]
     Model.answers = ["no", "no"]
@@ -66,7 +67,7 @@ def test_local_model(tmp_path):
         local_model.load_config(str(tmp_path / "d.toml"))
 
 
-@pytest.mark.parametrize("url", ["http://8.8.8.8", "ftp://127.0.0.1", "http://", "http://0.0.0.0"])
+@pytest.mark.parametrize("url", ["http://8.8.8.8", "ftp://127.0.0.1", "http://", "http://0.0.0.0", "http://[::ffff:8.8.8.8]"])
 def test_public_addresses_are_refused(url):
     with pytest.raises(ValueError):
         local_model.check_local(url)

@@ -58,3 +58,35 @@ def test_command_line(spark, corpus, capsys, tmp_path):
     assert cli.main(["--corpus", root, "import", f"{inside}/a.eml"], spark) == 0 and cli.main(["--corpus", root, "etat"], spark) == 0 and cli.main(["--corpus", root, "mesures"], spark) == 0
     assert "Documents : 2" in capsys.readouterr().out
     assert cli.main(["--corpus", str(tmp_path), "etat"], spark) == 1 and cli.main(["--corpus", root, "import", "/nothing"], spark) == 1
+
+
+def test_reset(spark, corpus):
+    root, inside = corpus
+    jobs.import_paths(spark, root, [f"{inside}/a.eml"], clock)
+    assert jobs.reset(spark, root, clock) == {"documents": 2, "markdown": 1, "folders": 1} and os.path.exists(f"{root}/corpus/_a-ranger/a.md")
+    jobs.reset(spark, root, clock, dry_run=False)
+    assert not os.path.exists(f"{root}/corpus/_a-ranger/a.md") and os.path.exists(f"{root}/.corpus/reinitialisations/2026-02-03T10-00-00/corpus/_a-ranger/a.md")
+    assert {r.status for r in jobs.documents(spark, root).collect()} == {"a_faire"}
+    assert jobs.import_paths(spark, root, [], clock)["converted"] == {"fait": 1, "echec": 1}
+    os.remove(f"{root}/{jobs.documents(spark, root).first().original}")
+    with pytest.raises(ValueError):
+        jobs.reset(spark, root, clock)
+
+
+def test_a_conversion_cut_off_after_its_notes_writes_the_same_files(spark, corpus, monkeypatch):
+    root, inside = corpus
+    jobs.register(spark, root, [f"{inside}/a.eml", f"{inside}/b.eml"], clock())
+    real, left = jobs._record, [1]
+
+    def record(events, where):
+        if not left.pop() if left else True:
+            raise OSError("cut off")
+        real(events, where)
+
+    monkeypatch.setattr(jobs, "_record", record)
+    with pytest.raises(OSError):
+        jobs.convert_pending(spark, root, clock())
+    monkeypatch.undo()
+    written = set(files.walk([f"{root}/corpus"]))
+    assert len(written) == 2 and jobs.convert_pending(spark, root, clock())["fait"] == 2
+    assert set(files.walk([f"{root}/corpus"])) == written
