@@ -191,13 +191,14 @@ def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """The group's estimate (means, factor, log determinant) for each g of ``rows`` (g, doc_id, x0..)."""
-    now = written(_starts(rows), "estimate")
+    # A row a group and start, in few files: Spark sees how small the table is, and then broadcasts it.
+    now = written(_starts(rows).coalesce(16), "estimate")
     for _ in range(STEPS):
-        now = written(_step(rows, now), "estimate")
+        now = written(_step(rows, now).coalesce(16), "estimate")
         if now.where("fell").isEmpty():
             break
     best = now.groupBy("g").agg(F.min_by(F.struct(*PARTS), F.struct("det", "s")).alias("e")).select("g", "e.*")
-    near = rows.join(written(best, "best"), "g").where(_distance() <= chi_square_quantile(REWEIGHT, D)).select("g", *X)
+    near = rows.join(written(best.coalesce(16), "best"), "g").where(_distance() <= chi_square_quantile(REWEIGHT, D)).select("g", *X)
     return _estimate(_moments(near, "g"), consistency(REWEIGHT), "g")
 
 
@@ -210,7 +211,7 @@ def judge(docs: DataFrame) -> DataFrame:
     if not rows.where(F.col("g") == ALL).isEmpty():
         told = told.unionByName(rows.withColumn("g", F.lit(ALL)))
     sizes = told.groupBy("g").agg(F.count("*").alias("group_size"))
-    estimate = written(estimates(told.where("n_words > 0")).join(sizes, "g"), "estimate")
+    estimate = written(estimates(told.where("n_words > 0")).join(sizes, "g").coalesce(16), "estimate")
     placed = rows.join(estimate, "g", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     distance = F.when((F.col("group_size") >= MIN_GROUP) & (F.col("n_words") > 0), _distance())
