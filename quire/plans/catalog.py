@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
-from ..functions.parsers import html_to_text
+from ..functions.parsers import html_to_text, mail_text, read_mail
 from ..operators import evaluate, ingest, layout, manifest, measures, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,14 +562,136 @@ def chain_comparison(spark: SparkSession, d: str) -> DataFrame:
     return told.select("chain", "pages", F.round("cer", 9).alias("cer"), F.round("seconds", 9).alias("seconds"))
 
 
-@_query()
+@_query(
+    f"""with {_FLAGS}, l as (select doc_key, chars::bigint as page, position::double::varchar as text, confidence, case when confidence < 0.5 then '< 0,50' when confidence < 0.7 then '0,50–0,70' else '0,70–0,80' end as range from flags),
+drawn as (select *, md5(concat_ws(chr(1), 1, doc_key, page, text)) as draw from l), capped as (select *, row_number() over (partition by doc_key order by draw, page, text) as k from drawn),
+ranked as (select *, row_number() over (partition by range order by draw, doc_key, page, text) as turn from capped where k <= 2)
+select doc_key, page, text, confidence, range from ranked order by turn, range, draw limit 60"""
+)
 def sample_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = _flags(spark, d).where("confidence < 0.8").select("doc_key", F.col("chars").alias("page"), F.col("position").cast("string").alias("text"), "confidence")
     return evaluate.sample_lines(lines, 60, 1)
 
 
-@_query()
+@_query(
+    f"""with {_PAGES}, p as (select doc_key, number as page, text, case when method = 'text' then 'texte' when doc_key % 4 = 0 then 'OCR net' when doc_key % 4 / greatest(lines * 5, 1) < 0.1 then 'OCR moyen' else 'OCR difficile' end as kind
+  from pages where text <> '' and method <> 'blank'), drawn as (select *, md5(concat_ws(chr(1), 1, doc_key, page)) as draw from p),
+capped as (select *, row_number() over (partition by doc_key order by draw, page) as k from drawn), ranked as (select *, row_number() over (partition by kind order by draw, doc_key, page) as turn from capped where k <= 2)
+select doc_key, page, kind, text from ranked order by case when turn <= case kind when 'texte' then 4 when 'OCR net' then 4 else 6 end then 0 else 1 end, draw, doc_key, page limit 20"""
+)
 def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).where("text <> '' and method <> 'blank'")
     kinds = rules.page_kind(F.col("method"), F.col("doc_key") % 4, F.col("lines") * 5)
     return evaluate.pick_pages(pages.select("doc_key", F.col("number").alias("page"), kinds.alias("kind"), "text"), 20, 1)
+
+
+# --- rules and text functions over whole texts ---------------------------------------------
+
+_WHITE = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHITE_IN_LINE = r"\t\x{0b}-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+def _normalized_sql(x: str) -> str:
+    return _strip_sql(rf"regexp_replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[{_WHITE_IN_LINE}]+\n', chr(10), 'g')")
+
+
+@_query(f"select doc_id, {_normalized_sql('text')} as text, length({_normalized_sql('text')}) >= 25 as has_layer from documents")
+def normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", text.normalized(F.col("text")).alias("text"), rules.has_text_layer(F.col("text")).alias("has_layer"))
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as notes with front matter, comments, flags and highlights around their words."""
+    docs = _table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.concat(F.lit("---\noriginal: x\n---\n<!-- page 1 · texte -->\n\n=="), "lang", F.lit("== "), "text", F.lit("\n\n\n\n<!-- fin\nde page --> é ==(«\n»)==  \n")).alias("note"))
+
+
+_MARKED = r"""marked as (select doc_id, '---' || chr(10) || 'original: x' || chr(10) || '---' || chr(10) || '<!-- page 1 · texte -->' || chr(10) || chr(10) || '==' || lang || '== ' || text || repeat(chr(10), 4) || '<!-- fin' || chr(10) || 'de page --> é ==(«' || chr(10) || '»)==  ' || chr(10) as note
+  from documents where text is not null)"""
+
+
+@_query(
+    rf"""with {_MARKED}, bare as (select doc_id, regexp_replace(regexp_replace(regexp_replace(note, '(?s)\A---\n.*?\n---\n', ''), '<!--[^\n]*?-->', '', 'g'), '(?s)==(.*?)==', '\1', 'g') as t from marked)
+select doc_id, {_strip_sql("regexp_replace(t, chr(10) || '{3,}', chr(10) || chr(10), 'g')")} as text from bare"""
+)
+def document_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).select("doc_id", text.document_text(F.col("note")).alias("text"))
+
+
+@_query(
+    rf"""with {_MARKED}, bare as (select doc_id, replace(regexp_replace(note, '(?s)<!--.*?-->', '', 'g'), '==', '') as t from marked),
+trimmed as (select doc_id, regexp_replace(regexp_replace(t, '[{_WHITE_IN_LINE}]+\n', chr(10), 'g'), '[{_WHITE_IN_LINE}]+$', '') as t from bare)
+select doc_id, {_strip_sql("regexp_replace(t, chr(10) || '{3,}', chr(10) || chr(10), 'g')")} as text from trimmed"""
+)
+def unmarked_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).select("doc_id", text.without_marks(F.col("note")).alias("text"))
+
+
+@_query("select p_partkey, p_size > p_partkey % 50 or (p_size = p_partkey % 50 and p_partkey % 7 > 3) as newer from part")
+def version_order(spark: SparkSession, d: str) -> DataFrame:
+    part = _table(spark, d, "part")
+    text_of = lambda *c: F.concat_ws(".", *[x.cast("string") for x in c])
+    key = F.col("p_partkey")
+    return part.select("p_partkey", text.is_newer(F.concat(F.lit("v"), text_of(F.col("p_size"), key % 7)), text_of(key % 50, F.lit(3))).alias("newer"))
+
+
+@_query("select o_orderkey, case when o_orderkey % 4 < 3 then o_orderdate::date::varchar end as day from orders")
+def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates written in three forms, and one that is no date."""
+    orders = _table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    week_year = F.year(F.date_add("day", 3 - F.weekday("day")))
+    week = F.concat(week_year.cast("string"), F.lit("-W"), F.lpad(F.weekofyear("day").cast("string"), 2, "0"), F.lit("-"), (F.weekday("day") + 1).cast("string"))
+    kind = F.col("o_orderkey") % 4
+    said = F.when(kind == 0, F.date_format("day", "yyyy-MM-dd")).when(kind == 1, F.date_format("day", "yyyyMMdd")).when(kind == 2, week).otherwise(F.date_format("day", "dd/MM/yyyy"))
+    return orders.select("o_orderkey", text.iso_date(said, 2100).cast("string").alias("day"))
+
+
+@_query(f"with {_FLAGS}, n as (select doc_key, count(*) filter (confidence < 0.5 and chars <= 3) as noise, count(*) as lines, count(*) filter (confidence < 0.8) as flagged from ocr group by 1) select doc_key, noise, case when flagged = 0 then 'OCR net' when flagged / greatest(lines, 1) < 0.1 then 'OCR moyen' else 'OCR difficile' end as kind from n")
+def noise_and_kinds(spark: SparkSession, d: str) -> DataFrame:
+    rows = _flags(spark, d).withColumn("piece", F.repeat(F.lit("x"), F.col("chars").cast("int")))
+    per = rows.groupBy("doc_key").agg(F.count_if(rules.is_noise(F.col("confidence"), F.col("piece"))).alias("noise"), F.count("*").alias("lines"), F.count_if(F.col("confidence") < 0.8).alias("flagged"))
+    return per.select("doc_key", "noise", rules.page_kind(F.lit("ocr"), F.col("flagged"), F.col("lines")).alias("kind"))
+
+
+@_query("select p_partkey, p_size * 4 >= 150 and p_partkey % 5 = 0 as blank from part")
+def blank_images(spark: SparkSession, d: str) -> DataFrame:
+    part = _table(spark, d, "part")
+    return part.select("p_partkey", rules.is_blank(F.col("p_size") * 4, F.when(F.col("p_partkey") % 5 == 0, 1e-4).otherwise(2e-4)).alias("blank"))
+
+
+@_query("select distinct lang || '/' || source as path from documents where doc_id % 3 = 0 and lang is not null and source is not null")
+def visible_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Folders beside hidden ones and the inbox."""
+    docs = _table(spark, d, "documents")
+    head = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("."), "lang")).otherwise(F.lit(text.INBOX))
+    return manifest.visible_folders(docs.select(F.concat(head, F.lit("/"), "source").alias("path")).where("path is not null").distinct())
+
+
+@_query("select doc_id, case when text is null or trim(text) = '' then 0 else 1 end as rows, '| ' || lang || ' | ' || replace(source, '|', '\\|') || ' |' as line from documents where lang is not null and source is not null")
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A table of one or two rows written and read back: its second row counted, its first as written."""
+    docs = _table(spark, d, "documents").where("lang is not null and source is not null")
+    head = F.array("lang", "source")
+    told = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.array(head)).otherwise(F.array(head, F.array(F.lit("a b"))))
+    written = text.markdown_table(told)
+    read = F.get(evaluate.tables(written), F.lit(0))
+    return docs.select("doc_id", (F.size(read) - 1).alias("rows"), F.get(F.split(written, "\n"), F.lit(0)).alias("line"))
+
+
+_MAIL = "**De :** a@example.org  \\n**À :** b@example.org  \\n**Date :** 2026-02-02 10:00  \\n**Objet :** "
+
+
+@_query(
+    f"""select doc_id, replace('{_MAIL}', '\\n', chr(10)) || coalesce(source, '-') || case when t = '' then '' else chr(10) || chr(10) || t end as text
+from (select doc_id, source, {_normalized_sql("regexp_replace(coalesce(text, ''), '[^ -~¡-ÿ' || chr(10) || ']', '', 'g')")} as t from documents)"""
+)
+def mail_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the bodies of e-mails."""
+    head = F.concat(F.lit("From: a@example.org\nTo: b@example.org\nDate: Mon, 02 Feb 2026 10:00:00 +0100\nSubject: "), F.coalesce("source", F.lit("-")), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~¡-ÿ\n]", "")
+    mail = _table(spark, d, "documents").select("doc_id", read_mail(F.encode(F.concat(head, body), "UTF-8")).alias("m"))
+    return mail.select("doc_id", mail_text(F.col("m")).alias("text"))
