@@ -76,7 +76,7 @@ def _probes(keys: list[bytes], bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Appends documents in ascending key order; memory holds one block, the index and eight bytes a key."""
+    """Appends documents in ascending key order; memory holds one block, the index and the keys."""
 
     def __init__(self, out, width: int) -> None:
         import zstandard

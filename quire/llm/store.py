@@ -28,6 +28,8 @@ def complete_file(uri: str):
     try:
         with fs.open_output_stream(attempt) as out:
             yield out
+        if fs.get_file_info(path).type.name == "File":
+            fs.delete_file(path)  # by an earlier attempt; not every file system moves onto a file
         fs.move(attempt, path)
     except BaseException:
         if fs.get_file_info(attempt).type.name == "File":
