@@ -70,7 +70,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_points(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.argmin(squared(x[i : i + 4096], points), 1) for i in range(0, len(x), 4096)])
+    return np.concatenate([np.argmin(squared(x[i : i + 1024], points), 1) for i in range(0, len(x), 1024)])
 
 
 def kmeans(x: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
