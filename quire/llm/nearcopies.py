@@ -1,14 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash buckets, exact verification.
+"""Near copies by the Jaccard similarity of word shingles: MinHash buckets, prefix filter, exact verification.
 
 Texts are compared by their sets of SHINGLE words in a row, lower-cased as in SimHash. BANDS
 hashes of ROWS minima each put a text into buckets; two texts of similarity 0.8 share none
-with a probability of 5e-8, more similar ones less. Texts that share a bucket are only
-candidates: the sets themselves decide, at SIMILAR_PERCENT or more.
+with a probability of 5e-8, more similar ones less. A text alone in all its buckets stays.
 
-Buckets are worked off in rounds. In each, a bucket's hubs (the least text of each of 1, 4,
-16, ... parts) meet all its texts; the later text of each similar pair goes from all buckets,
-and hubs go from theirs. A pair that isn't met has a text that went before, so no two texts
-that stay are similar; a large group is worked off by its first text; no bucket is capped.
+The shingles of the others are put in one order, rare ones first. Of two similar sets, each
+has the first common shingle among its first fifth, and behind it enough is left to share;
+so texts meet only in a shingle of their prefixes where that holds. Texts that differ in many
+rare shingles don't meet, however many of a family they are. The sets themselves decide, at
+SIMILAR_PERCENT or more.
+
+Shingles of prefixes are worked off in rounds. In each, a shingle's hubs (the least text of
+each of 1, 16, 256, ... parts) meet all its texts; the later text of each similar pair goes from
+all shingles, and hubs go from theirs. A pair that isn't met has a text that went before, so
+no two texts that stay are similar; a large group is worked off by its first text; nothing is capped.
 
 Rows: the first text in order of doc_id (null last; then the smallest text key) stays. Texts
 of equal words are one, null texts and those without words too. Fewer than SHINGLE words make
@@ -79,46 +84,74 @@ def _signatures(keyed: DataFrame) -> DataFrame:
     return keyed.select(*IDENTITY, "text").mapInArrow(compute, "missing boolean, id long, key long, node long, n long, buckets array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, o, n with the different shingles of each text, sorted, as bytes."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pa.array([shingles(t.as_py())[1].tobytes() for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), held], names=["node", "o", "n", "held"])
+
+    return texts.select("node", "o", "n", "text").mapInArrow(compute, "node long, o struct<missing:boolean,id:long,key:long>, n long, held binary")
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """The shingles of each prefix that other texts have too: shingle, node, o, n and how many of the text's shingles come before, as at."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), batch.column(0)[i].as_py(), np.int64)), pa.array(held)], names=["node", "shingle"])
+
+    every = sets.select("node", "held").mapInArrow(compute, "node long, shingle long")
+    counted = written(every.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "counted")
+    common = every.join(counted.hint("merge"), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("common"))
+    joined = sets.select("node", "o", "n").join(written(common, "common"), "node")
+    rare = F.col("n") - F.size("common")
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR_PERCENT / 100) + 1
+    held = joined.withColumn("rare", rare).select("node", "o", "n", "rare", F.posexplode(F.slice("common", F.lit(1), F.greatest(prefix - rare, F.lit(0)).cast("int"))).alias("k", "c"))
+    return held.select(F.col("c.shingle").alias("shingle"), "node", "o", "n", (F.col("rare") + F.col("k")).alias("at"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """node: the later text of each similar pair of ``pairs`` (first, later)."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub = None, None
         for batch in batches:
-            first, good = batch.column(0).to_pylist(), []
-            for i in range(batch.num_rows):
-                if first[i] != at:
-                    at, hub = first[i], shingles(batch.column(2)[i].as_py())[1]
-                good.append(similar(hub, shingles(batch.column(3)[i].as_py())[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(good, pa.bool_()))], names=["node"])
+            good = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], names=["node"])
 
     # The first text comes last: it may be one of very many pairs, and isn't shuffled with them.
-    late = written(pairs.join(texts.select(F.col("node").alias("later"), F.col("text").alias("later_text")).hint("merge"), "later"), "later")
-    both = late.join(texts.select(F.col("node").alias("first"), F.col("text").alias("first_text")).hint("merge"), "first")
-    return both.select("first", "later", "first_text", "later_text").mapInArrow(verify, "node long")
+    late = written(pairs.join(sets.select(F.col("node").alias("later"), F.col("held").alias("later_held")).hint("merge"), "later"), "later")
+    both = late.join(sets.select(F.col("node").alias("first"), F.col("held").alias("first_held")).hint("merge"), "first")
+    return both.select("later", "first_held", "later_held").mapInArrow(verify, "node long")
 
 
-def _shared(grid: DataFrame) -> DataFrame:
-    """The rows of ``grid``, a plain table, in buckets of two texts or more."""
-    shared = written(grid.groupBy("bucket").count().where(F.col("count") > 1).select("bucket"), "shared")
-    return written(grid.join(shared, "bucket", "left_semi"), "live")
+def _shared(grid: DataFrame, by: str) -> DataFrame:
+    """The rows of ``grid``, a plain table, of which ``by`` is that of two texts or more."""
+    shared = written(grid.groupBy(by).count().where(F.col("count") > 1).select(by), "shared")
+    return written(grid.join(shared, by, "left_semi"), "live")
 
 
 def _later(keyed: DataFrame, nodes: DataFrame) -> list[DataFrame]:
     """Tables of the nodes that go."""
-    live = _shared(written(nodes.select("node", "o", "n", F.explode("buckets").alias("bucket")), "grid"))
-    wanted = written(live.select("node", "o.*").distinct(), "wanted")
-    texts = written(keyed.select(*IDENTITY, "text").join(wanted, IDENTITY).select("node", "text").dropDuplicates(["node"]), "texts")
+    grid = written(nodes.select("node", "o", "n", F.explode("buckets").alias("bucket")), "grid")
+    wanted = written(_shared(grid, "bucket").select("node", "o", "n").distinct(), "wanted")
+    first = keyed.select(F.struct(*IDENTITY).alias("o"), "text").join(wanted, "o").dropDuplicates(["node"])
+    sets = written(_sets(first), "sets")
+    live = _shared(written(_postings(sets), "postings"), "shingle")
     gone, parts = [], 1
     while not live.isEmpty():
-        hubs = written(live.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.min(F.struct("o", "node", "n")).alias("hub")).select("bucket", "hub"), "hubs")
-        near = 100 * F.least("n", "hub.n") >= SIMILAR_PERCENT * F.greatest("n", "hub.n")
+        hubs = written(live.groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.min(F.struct("o", "node", "n", "at")).alias("hub")).select("shingle", "hub"), "hubs")
+        left = F.least(F.col("n") - F.col("at"), F.col("hub.n") - F.col("hub.at"))
+        near = (100 + SIMILAR_PERCENT) * left >= SIMILAR_PERCENT * (F.col("n") + F.col("hub.n"))
         ends = [F.struct("o", "node"), F.struct("hub.o", "hub.node")]
-        met = live.join(hubs.hint("merge"), "bucket").where((F.col("node") != F.col("hub.node")) & near)
+        met = live.join(hubs.hint("merge"), "shingle").where((F.col("node") != F.col("hub.node")) & near)
         pairs = met.select(F.least(*ends)["node"].alias("first"), F.greatest(*ends)["node"].alias("later")).distinct()
-        gone.append(written(_verified(written(pairs, "pairs"), texts).distinct(), "gone"))
-        left = live.join(gone[-1], "node", "left_anti").join(hubs.select("bucket", F.col("hub.node").alias("node")), ["bucket", "node"], "left_anti")
-        live, parts = _shared(written(left, "left")), parts * 4
+        gone.append(written(_verified(written(pairs, "pairs"), sets).distinct(), "gone"))
+        rest = live.join(gone[-1], "node", "left_anti").join(hubs.select("shingle", F.col("hub.node").alias("node")), ["shingle", "node"], "left_anti")
+        live, parts = _shared(written(rest, "left"), "shingle"), parts * 16
     return gone
 
 
