@@ -235,7 +235,7 @@ def read_tables(shards: DataFrame) -> DataFrame:
 def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
     """Token ids of the documents in ``wanted`` (doc_id): doc_id, ids (array<long>), one row per stored row.
 
-    Identifiers go to the shards whose range can hold them; each is then found by bisection.
+    Identifiers go to the shard whose range can hold them; each is then found by bisection.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +251,17 @@ def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
                     values.append(np.frombuffer(value, "<u2" if tables[uri].width == 2 else "<u4").astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    s = shards.select("uri", "first_id", "last_id")
-    w = wanted.select(F.col("doc_id").cast("long")).distinct()
-    held = (s.first_id <= w.doc_id) & (s.last_id >= w.doc_id) | (s.first_id.isNull() & (w.doc_id.isNull() | (s.last_id >= w.doc_id)))
-    return w.join(s, held).select("uri", "doc_id").repartition("uri").sortWithinPartitions("uri", "doc_id").mapInArrow(find, "doc_id long, ids array<long>")
+    # A scan in order: each identifier goes to the last shard that begins at or before it. Shards' ranges don't overlap.
+    starts = shards.select(F.col("first_id").alias("doc_id"), F.lit(0).alias("kind"), "uri")
+    asked = wanted.select(F.col("doc_id").cast("long")).distinct().select("doc_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("uri"))
+    ranged = written(starts.unionByName(asked).repartitionByRange("doc_id", "kind").withColumn("part", F.spark_partition_id()), "ranged")
+    # One row a part that holds a shard's beginning: the only rows that a single task sees.
+    ends = ranged.where("kind = 0").groupBy("part").agg(F.max_by("uri", F.struct("doc_id")).alias("last"))
+    every = ranged.select("part").distinct().join(ends, "part", "left")
+    before = every.select("part", F.last("last", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    here = F.last("uri", True).over(Window.partitionBy("part").orderBy("doc_id", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("here", here).where("kind = 1").join(before, "part").select(F.coalesce("here", "before").alias("uri"), "doc_id").where("uri is not null")
+    return placed.repartition("uri").sortWithinPartitions("uri", "doc_id").mapInArrow(find, "doc_id long, ids array<long>")
 
 
 def token_tables(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -72,6 +72,21 @@ def test_sst_round_trip(spark, library):
     assert [x[:2] for x in by] == [(False, 0), (False, 0), (True, -5), (True, 7), (True, 7)]
 
 
+def test_sst_lookup_over_many_shards(spark, library):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        texts = [(None, "none"), *((2 * i, f"text {i}") for i in range(200)), (30, "again")]
+        shards, _ = sst.token_tables(spark.createDataFrame(texts, "doc_id long, text string"), JSON)
+        assert shards.count() > 2
+        found = sst.lookup(shards, spark.createDataFrame([(i,) for i in [None, *range(-3, 405), 30]], "doc_id long")).collect()
+        by_id = lambda x: (x[0] is not None, x[0] or 0, x[1])
+        assert sorted(((r.doc_id, list(r.ids)) for r in found), key=by_id) == sorted(((i, [*encoded(library, t), 0]) for i, t in texts), key=by_id)
+        none = sst.lookup(shards.limit(0), spark.createDataFrame([(1,)], "doc_id long"))
+        assert none.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_sst_blocks_and_lookup(spark, tmp_path):
     uri = f"file://{tmp_path}/t.sst"
     rng = np.random.default_rng(1)
