@@ -58,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, a table that was read, in a partition a core at least: where work a row is costly, files of few splits would leave cores idle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def row_key(text: Column) -> Column:
     """With doc_id, identity of a row: repeated rows share it and so share every decision."""
     return F.xxhash64(F.length(text), text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, credentials, langid, linededup, oracles, outliers, packing, separators, simhash, sst
-from .common import table
+from .common import dealt, table
 from .tokens import public_path
 
 
@@ -18,7 +18,7 @@ def op1_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_path("byte_bpe_50k.json"))
+    pieces = packing.pack(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), public_path("byte_bpe_50k.json"))
     return pieces.drop("ids", "id_bytes")
 
 
@@ -27,19 +27,19 @@ def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return separators.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_path("byte_bpe_50k.json"), end_id=50256)
+    return separators.token_counts(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), public_path("byte_bpe_50k.json"), end_id=50256)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return langid.identify(dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_path("byte_bpe_50k.tiktoken"), keep=False)
+    return bpe.encode_documents(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), public_path("byte_bpe_50k.tiktoken"), keep=False)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
