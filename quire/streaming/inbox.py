@@ -6,6 +6,7 @@ manifest and appended. A batch that runs twice appends nothing new, as its docum
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,10 +37,11 @@ def watch(spark: SparkSession, folder: str, log_path: str, checkpoint: str, cloc
         session = batch.sparkSession
         try:
             known = manifest.latest(manifest.open_log(session, log_path))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             known = session.createDataFrame([], manifest.LOG_SCHEMA)
-        manifest.append(events(batch, known, number, clock()).coalesce(8), log_path)
+        # Few files a batch, without holding up the stages before.
+        manifest.append(events(batch, known, number, clock()).hint("rebalance"), log_path)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
