@@ -14,7 +14,7 @@ from ..functions.parsers import casefold
 from ..sources.storage import checkpointed
 from .rules import was_edited
 
-#: Statuses with their labels, the format's version, how many names are tried.
+#: Statuses with their labels, the format's version, how many names are tried for a note.
 STATUSES = {"a_faire": "à faire", "fait": "faits", "a_verifier": "à vérifier", "echec": "en échec"}
 FORMAT_VERSION = 1
 MAX_TWINS = 9999
@@ -138,28 +138,32 @@ def twin_name(stem: Column, n: Column) -> Column:
 def _numbers_of(names: DataFrame) -> DataFrame:
     """(folder, stem, n): how ``names`` (folder, name) can have come about, as a plain name and as a numbered twin."""
     bare = names.select("folder", F.regexp_extract("name", r"(?s)^(.*)\.md$", 1).alias("stem")).where("stem <> ''")
-    twin = bare.select("folder", F.regexp_extract("stem", r"(?s)^(.*) \((\d{1,4})\)$", 1).alias("inner"), F.regexp_extract("stem", r"(?s)^(.*) \((\d{1,4})\)$", 2).alias("n")).where("n <> '' and cast(n as int) > 1 and n not like '0%'")
-    return bare.select("folder", "stem", F.lit(1).alias("n")).unionByName(twin.select("folder", F.col("inner").alias("stem"), F.col("n").cast("int").alias("n"))).distinct()
+    twin = bare.select("folder", F.regexp_extract("stem", r"(?s)^(.*) \((\d{1,18})\)$", 1).alias("inner"), F.regexp_extract("stem", r"(?s)^(.*) \((\d{1,18})\)$", 2).alias("n")).where("n <> '' and n <> '1' and n not like '0%'")
+    return bare.select("folder", "stem", F.lit(1).cast("long").alias("n")).unionByName(twin.select("folder", F.col("inner").alias("stem"), F.col("n").cast("long").alias("n"))).distinct()
 
 
-def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+def free_names(wanted: DataFrame, taken: DataFrame, most: int | None = None) -> DataFrame:
     """A free name in its folder for each of ``wanted`` (ord, folder, stem): the first of stem.md, stem (2).md, … that neither
-    ``taken`` (folder, name) nor an earlier one has.
+    ``taken`` (folder, name) nor an earlier one has. A number beyond ``most``, if given, is refused (an error).
 
-    The k-th document of a stem gets the stem's k-th free number. Only where two stems spell one name
+    The k-th document of a stem gets the stem's k-th free number: k and as many as there are numbers
+    in use before it, counted in a window that holds both. Only where two stems spell one name
     does the earlier document win; the loser and those after it in its stem go another round.
     """
     open_, used, given = wanted.select("ord", "folder", "stem"), taken.select("folder", "name").distinct(), None
     of_stem = Window.partitionBy("folder", "stem").orderBy("ord")
+    before = Window.partitionBy("folder", "stem").orderBy("k", F.desc("in_use")).rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        numbers = _numbers_of(used).groupBy("folder", "stem").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
-        ranked = open_.withColumn("k", F.row_number().over(of_stem)).join(numbers, ["folder", "stem"], "left")
-        n = F.aggregate(F.coalesce("numbers", F.array().cast("array<int>")), F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-        tries = ranked.withColumn("n", n).withColumn("name", twin_name(F.col("stem"), F.col("n")))
+        numbers = _numbers_of(used).join(open_.select("folder", "stem").distinct(), ["folder", "stem"], "left_semi")
+        # The i-th number in use shifts the k-th document if it is at most the k-th free one of the i - 1 before it.
+        shifts = numbers.select("folder", "stem", (F.col("n") - F.row_number().over(Window.partitionBy("folder", "stem").orderBy("n")) + 1).alias("k"), F.lit(True).alias("in_use"))
+        ranked = open_.withColumn("k", F.row_number().over(of_stem).cast("long")).withColumn("in_use", F.lit(False))
+        both = ranked.unionByName(shifts, allowMissingColumns=True).withColumn("n", F.col("k") + F.count_if("in_use").over(before))
+        tries = both.where("not in_use").withColumn("name", twin_name(F.col("stem"), F.col("n")))
         lost = F.row_number().over(Window.partitionBy("folder", "name").orderBy("ord")) > 1
         held = tries.withColumn("lost", lost).withColumn("good", ~F.bool_or("lost").over(of_stem)).select("ord", "folder", "stem", "n", "name", "good")
         held = checkpointed(held)
-        if held.where(F.col("n") > MAX_TWINS).limit(1).count():
+        if most is not None and held.where(F.col("n") > most).limit(1).count():
             raise ValueError("too many documents of one name")
         won = held.where("good").select("ord", "folder", "stem", "name")
         given = won if given is None else given.unionByName(won)

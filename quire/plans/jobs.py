@@ -111,7 +111,7 @@ def convert_pending(spark: SparkSession, root: str, now: str, readers: dict[str,
     wanted = good.where("markdown is null").select(order.alias("ord"), F.lit(text.INBOX).alias("folder"), stem.alias("stem"), "sha256")
     on_disk = [(os.path.dirname(p), os.path.basename(p)) for p in _note_paths(root)]
     recorded = everything.where("markdown is not null").select(F.regexp_extract("markdown", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("markdown", "([^/]*)$", 1).alias("name"))
-    names = manifest.free_names(wanted.drop("sha256"), spark.createDataFrame(on_disk, "folder string, name string").unionByName(recorded))
+    names = manifest.free_names(wanted.drop("sha256"), spark.createDataFrame(on_disk, "folder string, name string").unionByName(recorded), manifest.MAX_TWINS)
     placed = wanted.join(names.select("ord", "name"), "ord").select("sha256", F.concat("folder", F.lit("/"), "name").alias("new_path"))
     good = checkpointed(good.join(placed, "sha256", "left").withColumn("markdown", F.coalesce("markdown", "new_path")).drop("new_path"))
     failed = waiting.join(results.where("error is not null").select("sha256"), "sha256", "left_semi")
@@ -232,7 +232,7 @@ def move(spark: SparkSession, root: str, sha256: str, folder: str, name: str) ->
         raise ValueError("no such destination")
     here = located(spark, root).where(F.col("sha256") == sha256).select("path").first()
     taken = spark.createDataFrame([(os.path.dirname(p), os.path.basename(p)) for p in _note_paths(root)], "folder string, name string")
-    free = manifest.free_names(spark.createDataFrame([("0", where["f"], where["n"])], "ord string, folder string, stem string"), taken).first()["name"]
+    free = manifest.free_names(spark.createDataFrame([("0", where["f"], where["n"])], "ord string, folder string, stem string"), taken, manifest.MAX_TWINS).first()["name"]
     target = sinks.move_note(os.path.join(root, "corpus"), here["path"], where["f"], free)
     _record(checkpointed(documents(spark, root).where(F.col("sha256") == sha256).withColumn("markdown", F.lit(target))), root)
     return target

@@ -75,6 +75,16 @@ def test_free_names(spark):
     assert got == {1: "x (2).md", 2: "x (3).md", 3: "x (2) (2).md", 4: "x (5).md", 5: "x.md"}
 
 
+def test_free_names_beyond_the_limit_for_notes(spark):
+    n = manifest.MAX_TWINS + 3
+    wanted = spark.range(1, n + 1).selectExpr("id as ord", "'f' as folder", "'x' as stem")
+    taken = spark.createDataFrame([("f", "x.md"), ("f", "x (3).md"), ("f", f"x ({n + 1}).md")], "folder string, name string")
+    got = [r.name for r in manifest.free_names(wanted, taken).orderBy("ord").collect()]
+    assert got == [f"x ({k}).md" for k in range(2, n + 5) if k not in (3, n + 1)][:n]
+    with pytest.raises(ValueError):
+        manifest.free_names(wanted, taken, manifest.MAX_TWINS)
+
+
 def test_filed(spark):
     folders = spark.createDataFrame([(1, "CAF"), (2, "Straße")], "ord long, folder string")
     got = [(r.folder, r.new_folder) for r in manifest.filed(spark.createDataFrame([("caf",), ("strasse",), ("Neuf/x",)], "folder string"), folders).orderBy("folder").collect()]
