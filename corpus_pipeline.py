@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import credentials, langid, linededup, nearcopies, packing, simhash
-from quire.llm.common import DOCUMENT_COLUMNS, documents_only, scratch, table, written
+from quire.llm.common import DOCUMENT_COLUMNS, documents_only, passing, scratch, table, written
 from quire.llm.tokens import public_path
 
 
@@ -29,7 +29,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents near one another by SimHash over five-word shingles the first stays; then of those whose shingles have a similarity of 0.8 or more."""
     # Written, as it is read three times and made by a shuffle of whole texts.
-    return nearcopies.one_of_each(written(simhash.one_of_each(docs, nearcopies.SHINGLE), "singles"))
+    with passing() as keep:
+        singles = keep(written(simhash.one_of_each(docs, nearcopies.SHINGLE), "singles"))
+    return nearcopies.one_of_each(singles)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents_only, row_key, written
+from .common import DOCUMENT_COLUMNS, documents_only, passing, row_key, written
 
 #: The base patterns and the least lengths that they need.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -139,13 +139,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Texts with spans are cut into chunks, each of which meets the spans that touch it.
     """
     keyed = documents_only(docs).withColumns({"missing": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "key": F.coalesce(row_key(F.col("text")), F.lit(0))})
-    rows, spans = scan(keyed)
-    mine = spans.join(rows.select("rid", *IDENTITY), "rid").select(*IDENTITY, F.col("start").cast("int"), F.col("end").cast("int")).distinct()
-    order = Window.partitionBy(*IDENTITY).orderBy("start", "end")
-    opens = F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = mine.withColumn("opens", opens).withColumn("run", F.count_if(F.col("opens")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = written(runs.groupBy(*IDENTITY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")), "runs")
-    touched = written(runs.select(*IDENTITY).distinct(), "touched")
+    with passing() as keep:
+        rows, spans = scan(keyed)
+        mine = spans.join(rows.select("rid", *IDENTITY), "rid").select(*IDENTITY, F.col("start").cast("int"), F.col("end").cast("int")).distinct()
+        order = Window.partitionBy(*IDENTITY).orderBy("start", "end")
+        opens = F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        runs = mine.withColumn("opens", opens).withColumn("run", F.count_if(F.col("opens")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = keep(written(runs.groupBy(*IDENTITY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")), "runs"))
+        touched = keep(written(runs.select(*IDENTITY).distinct(), "touched"))
     at = F.col("chunk") * CHUNK
     cuts = runs.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK).cast("int"), F.floor((F.col("end") - 1) / CHUNK).cast("int"))))
     cut = F.struct(F.greatest(F.col("start") - at, F.lit(0)).alias("a"), F.least(F.col("end") - at, F.lit(CHUNK)).alias("b"), (F.col("start") >= at).alias("opens"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents_only, row_key, written
+from .common import DOCUMENT_COLUMNS, documents_only, passing, row_key, written
 from .outliers import let
 
 SPACE = r" \t\x0B\f\r"
@@ -85,9 +85,11 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 def drop_recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """The documents columns of ``docs``, recurring lines dropped from the text, with n_lines and n_dropped."""
     docs = identified(docs)
-    by_text = recurring_lines(docs, min_texts).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+    with passing() as keep:
+        by_text = recurring_lines(docs, min_texts).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+        drops = keep(written(by_text, "drops"))
     # Read back and merged, both sides of the join are plain, so a text that very many documents share can be split over tasks.
-    joined = docs.join(written(by_text, "drops").hint("merge"), "key", "left")
+    joined = docs.join(drops.hint("merge"), "key", "left")
     lines = F.split("text", "\n")
     # Runs of kept lines between dropped ones.
     edges = F.concat(F.array(F.lit(-1)), F.col("drop"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents_only, row_key, written
+from .common import DOCUMENT_COLUMNS, discard, documents_only, passing, row_key, written
 
 SHINGLE, SEED, SIMILAR_PERCENT = 5, 42, 80
 BANDS, ROWS = 32, 4
@@ -106,8 +106,12 @@ def _postings(sets: DataFrame) -> DataFrame:
 
     every = sets.select("node", "held").mapInArrow(compute, "node long, shingle long")
     counted = written(every.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "counted")
-    common = every.join(counted.hint("merge"), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("common"))
-    joined = sets.select("node", "o", "n").join(written(common, "common"), "node")
+    # Written before they are grouped, so that the shuffles by shingle and by text aren't there at once.
+    each = written(every.join(counted.hint("merge"), "shingle").select("node", "texts", "shingle"), "each")
+    discard(counted)
+    common = written(each.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("common")), "common")
+    discard(each)
+    joined = sets.select("node", "o", "n").join(common, "node")
     rare = F.col("n") - F.size("common")
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILAR_PERCENT / 100) + 1
     held = joined.withColumn("rare", rare).select("node", "o", "n", "rare", F.posexplode(F.slice("common", F.lit(1), F.greatest(prefix - rare, F.lit(0)).cast("int"))).alias("k", "c"))
@@ -122,6 +126,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], names=["node"])
 
+    ends = pairs.select(F.explode(F.array("first", "later")).alias("node")).distinct()
+    sets = written(sets.join(ends, "node", "left_semi").select("node", "held"), "ends")
     # The first text comes last: it may be one of very many pairs, and isn't shuffled with them.
     late = written(pairs.join(sets.select(F.col("node").alias("later"), F.col("held").alias("later_held")).hint("merge"), "later"), "later")
     both = late.join(sets.select(F.col("node").alias("first"), F.col("held").alias("first_held")).hint("merge"), "first")
@@ -129,39 +135,46 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared(grid: DataFrame, by: str) -> DataFrame:
-    """The rows of ``grid``, a plain table, of which ``by`` is that of two texts or more."""
-    shared = written(grid.groupBy(by).count().where(F.col("count") > 1).select(by), "shared")
+    """The rows of ``grid``, a plain table, of which ``by`` is that of two texts (nodes) or more."""
+    shared = written(grid.groupBy(by).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(by), "shared")
     return written(grid.join(shared, by, "left_semi"), "live")
 
 
-def _later(keyed: DataFrame, nodes: DataFrame) -> list[DataFrame]:
-    """Tables of the nodes that go."""
-    grid = written(nodes.select("node", "o", "n", F.explode("buckets").alias("bucket")), "grid")
-    wanted = written(_shared(grid, "bucket").select("node", "o", "n").distinct(), "wanted")
+def _later(keyed: DataFrame, rows: DataFrame, nodes: DataFrame) -> list[DataFrame]:
+    """Tables of the nodes that go. Runs in a ``passing``, as what a step leaves is deleted when the next has read it; so are ``rows``, the signatures."""
+    with passing() as keep:
+        grid = written(rows.select("node", F.explode("buckets").alias("bucket")), "grid")
+        wanted = keep(written(nodes.select("node", "o", "n").join(_shared(grid, "bucket").select("node").distinct(), "node"), "wanted"))
+    discard(rows)
     first = keyed.select(F.struct(*IDENTITY).alias("o"), "text").join(wanted, "o").dropDuplicates(["node"])
     sets = written(_sets(first), "sets")
-    live = _shared(written(_postings(sets), "postings"), "shingle")
+    with passing() as keep:
+        live = keep(_shared(written(_postings(sets), "postings"), "shingle"))
     gone, parts = [], 1
     while not live.isEmpty():
-        hubs = written(live.groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.min(F.struct("o", "node", "n", "at")).alias("hub")).select("shingle", "hub"), "hubs")
-        left = F.least(F.col("n") - F.col("at"), F.col("hub.n") - F.col("hub.at"))
-        near = (100 + SIMILAR_PERCENT) * left >= SIMILAR_PERCENT * (F.col("n") + F.col("hub.n"))
-        ends = [F.struct("o", "node"), F.struct("hub.o", "hub.node")]
-        met = live.join(hubs.hint("merge"), "shingle").where((F.col("node") != F.col("hub.node")) & near)
-        pairs = met.select(F.least(*ends)["node"].alias("first"), F.greatest(*ends)["node"].alias("later")).distinct()
-        gone.append(written(_verified(written(pairs, "pairs"), sets).distinct(), "gone"))
-        rest = live.join(gone[-1], "node", "left_anti").join(hubs.select("shingle", F.col("hub.node").alias("node")), ["shingle", "node"], "left_anti")
-        live, parts = _shared(written(rest, "left"), "shingle"), parts * 16
+        with passing() as keep:
+            hubs = written(live.groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.min(F.struct("o", "node", "n", "at")).alias("hub")).select("shingle", "hub"), "hubs")
+            left = F.least(F.col("n") - F.col("at"), F.col("hub.n") - F.col("hub.at"))
+            near = (100 + SIMILAR_PERCENT) * left >= SIMILAR_PERCENT * (F.col("n") + F.col("hub.n"))
+            ends = [F.struct("o", "node"), F.struct("hub.o", "hub.node")]
+            met = live.join(hubs.hint("merge"), "shingle").where((F.col("node") != F.col("hub.node")) & near)
+            pairs = met.select(F.least(*ends)["node"].alias("first"), F.greatest(*ends)["node"].alias("later")).distinct()
+            gone.append(keep(written(_verified(written(pairs, "pairs"), sets).distinct(), "gone")))
+            rest = live.join(gone[-1], "node", "left_anti").join(hubs.select("shingle", F.col("hub.node").alias("node")), ["shingle", "node"], "left_anti")
+            left = keep(_shared(written(rest, "left"), "shingle"))
+        discard(live)
+        live, parts = left, parts * 16
     return gone
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents of ``docs`` that stay. Fully repeated rows count as one."""
     keyed = documents_only(docs).withColumns({"missing": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "key": F.coalesce(row_key(F.col("text")), F.lit(0))})
-    rows = written(_signatures(keyed), "signatures")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct(*IDENTITY)).alias("o"), F.min("n").alias("n"), F.min("buckets").alias("buckets")), "nodes")
-    gone = _later(keyed, nodes)
-    kept = reduce(lambda k, g: k.join(g, "node", "left_anti"), gone, nodes.select("node", "o")).select("o.*")
+    with passing() as keep:
+        rows = written(_signatures(keyed), "signatures")
+        nodes = written(rows.groupBy("node").agg(F.min(F.struct(*IDENTITY)).alias("o"), F.min("n").alias("n")), "nodes")
+        gone = _later(keyed, rows, nodes)
+        kept = keep(written(reduce(lambda k, g: k.join(g, "node", "left_anti"), gone, nodes.select("node", "o")).select("o.*"), "kept"))
     # The join brings equal rows together; the numbering reads them as they come.
     same = Window.partitionBy(*IDENTITY).orderBy("lang", "source", "n_chars")
-    return keyed.join(written(kept, "kept"), IDENTITY, "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*DOCUMENT_COLUMNS)
+    return keyed.join(kept, IDENTITY, "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*DOCUMENT_COLUMNS)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, documents_only, row_key, written
+from .common import DOCUMENT_COLUMNS, documents_only, passing, row_key, written
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -170,8 +170,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents of ``docs`` that stay: of each component the one with the smallest doc_id (null last; then the smallest text key). Fully repeated rows count as one."""
     identity = ["missing", "id", "key"]
     keyed = documents_only(docs).withColumns({"missing": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "key": F.coalesce(row_key(F.col("text")), F.lit(0))})
-    rows = written(fingerprints(keyed.select("doc_id", *identity, "text"), shingle), "fingerprints")
-    kept = classes(rows).groupBy("root").agg(F.min(F.struct(*identity)).alias("k")).select("k.*").distinct()
+    with passing() as keep:
+        rows = written(fingerprints(keyed.select("doc_id", *identity, "text"), shingle), "fingerprints")
+        kept = keep(written(classes(rows).groupBy("root").agg(F.min(F.struct(*identity)).alias("k")).select("k.*").distinct(), "kept"))
     # The join brings equal rows together; the numbering reads them as they come.
     same = Window.partitionBy(*identity).orderBy("lang", "source", "n_chars")
     return keyed.join(kept, identity, "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*DOCUMENT_COLUMNS)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from quire.llm import nearcopies
+from quire.llm import common, nearcopies
 
 from .cases import TEXTS, documents, empty, words
 
@@ -53,3 +53,15 @@ def test_edges(spark):
     assert nearcopies.one_of_each(empty(spark)).count() == 0
     got = nearcopies.one_of_each(documents(spark, TEXTS)).collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [-5, 1, 4, 5, 6, 8, 9, 11, 12] and sum(r.doc_id is None for r in got) == 1
+
+
+def test_stages_leave_only_what_their_result_reads(spark, tmp_path, monkeypatch):
+    """Tables of the steps in between, and the shuffles that made them, don't stay until the pipeline ends."""
+    rows = [(i, f"{words(30, i)}\ndotted line of template {i}\npassword = abcdef{i}gh12") for i in range(12)] + [(50 + i, edited(words(200, 1), 2, i)) for i in range(3)]
+    before = spark.conf.get(common.CLEANUP)
+    for name, reads, n in (("lines", ["drops"], 15), ("near_duplicates", ["kept", "singles"], 13), ("secrets", ["runs", "touched"], 15)):
+        monkeypatch.setattr(common, "shared_root", lambda _, to=tmp_path / name: f"file://{to}")
+        out = getattr(corpus_pipeline, name)(spark, documents(spark, rows), "")
+        assert sorted(p.name for p in (tmp_path / name).glob("quire-*/*") if not p.name.startswith(".")) == reads
+        assert len(list((tmp_path / name).glob("quire-*"))) == len(reads) and out.count() == n
+    assert spark.conf.get(common.CLEANUP) == before
